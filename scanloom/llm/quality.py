@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import raw, runs
 from .common import crc_mod, table
@@ -214,7 +215,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "scor
     """docs with one more column, `to` (replaced if there is one of that name): the probability of label 1. A null
     text is an empty one, and an empty one has a score too. Order of rows and other columns stay."""
     rows = docs.drop(to) if to in docs.columns else docs
-    schema = rows.schema.add(to, "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField(to, T.DoubleType())])
     at = rows.columns.index(text_col)
 
     def run(batches):
