@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat_format, exact_dedup, language_id, mixing, pii, quality
+from . import chat_format, exact_dedup, language_id, media, mixing, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -9,5 +9,6 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_language_id": language_id.op9_language_id,
+    "op10_media": media.op10_media,
 }
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
