@@ -196,15 +196,16 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes
     teach nothing, nor do null labels and null texts."""
     own = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     own = own.filter("q = q2").select("doc_id", "q")
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(own, "doc_id").withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
-    sizes = rows.select("doc_id", "h", "q", F.octet_length("text").cast("long").alias("n")).orderBy("h", "doc_id", "n").limit(max_docs)
+    docs = docs.filter("text IS NOT NULL")
+    sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.xxhash64(F.lit(11), "doc_id").alias("h"))
+    sizes = sizes.join(own, "doc_id").orderBy("h", "doc_id", "n").limit(max_docs)  # texts stay where they are
     total = F.sum("n").over(Window.orderBy("h", "doc_id", "n"))  # max_docs rows
-    ids = [r.doc_id for r in sizes.withColumn("sum", total).filter(F.col("sum") <= max_bytes).select("doc_id").distinct().collect()]
-    if not ids:
+    label = {r.doc_id: r.q for r in sizes.withColumn("sum", total).filter(F.col("sum") <= max_bytes).select("doc_id", "q").collect()}
+    if not label:
         return [], np.zeros(0, np.float32)
-    got = rows.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).select("doc_id", "text", "q").collect()
+    got = docs.filter(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: r.doc_id)
-    return [r.text.encode() for r in got], np.array([r.q for r in got], np.float32)
+    return [r.text.encode() for r in got], np.array([label[r.doc_id] for r in got], np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: int = 24 << 20) -> Model:
