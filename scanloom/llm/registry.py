@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat_format, exact_dedup, language_id, media, mixing, pii, quality
+from . import chat_format, exact_dedup, language_id, media, mixing, pii, quality, sentencepiece_codec
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_pii": pii.op2_pii,
     "op3_quality": quality.op3_quality,
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_mixing": mixing.op6_mixing,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_language_id": language_id.op9_language_id,
