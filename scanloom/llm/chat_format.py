@@ -36,21 +36,6 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\"), one), "\\")
 
 
-def _conversations(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """One row per conversation: head (the system turn or nothing) and body, each an array of (role, text, tokens)."""
-    rows = turns.select(
-        F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).cast("long"))
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    rows = rows.withColumn("k", F.row_number().over(order))
-    rows = rows.withColumn("head", (F.col("k") == 1) & (F.col("role") == "system"))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sum", F.sum(F.when(F.col("head"), 0).otherwise(F.col("tokens"))).over(upto))
-    t = F.struct("k", "role", "text", "tokens", "sum", "head")
-    return rows.groupBy("conv").agg(F.sort_array(F.collect_list(t)).alias("all"))
-
-
 def format_windows(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -69,69 +54,64 @@ def format_windows(
     a null turn comes first, a null role or text is empty, repeated rows are turns of their own, and a null conversation
     is a conversation. The first turn is kept in each window if its role is `system`. A turn that is larger than the
     room left is a window of its own, whole, with over_budget set. No turns, no rows. Other columns are ignored.
+
+    Only numbers of a conversation's turns meet in one row; texts meet by window.
     """
-    c = _conversations(turns, conv_col, turn_col, role_col, text_col)
-    c = c.withColumn("n_head", F.when(F.element_at("all", 1)["head"] & (F.size("all") > 1), F.lit(1)).otherwise(F.lit(0)))
-    c = c.withColumn("body", F.expr("slice(all, n_head + 1, size(all) - n_head)"))
-    c = c.withColumn("head_tokens", F.when(F.col("n_head") == 1, F.element_at("all", 1)["tokens"]).otherwise(F.lit(0)))
-    # prefix[i]: tokens of the body before its turn i (0-based).
-    c = c.withColumn("prefix", F.expr("transform(concat(array(0L), body.sum), x -> x)"))
-    c = c.withColumn("prefix", F.when(F.element_at("all", 1)["head"] & (F.size("all") == 1), F.array(F.lit(0).cast("long"), F.element_at("all", 1)["tokens"])).otherwise(F.col("prefix")))
-    room = f"greatest({budget} - head_tokens, 0)"
-    # A span ends where the tokens since its start, with the history it repeats, would exceed the room. starts has, for
-    # each window, the first turn of its span and the first turn of its history.
-    history = (
-        f"coalesce(element_at(filter(sequence(greatest(i - {history_turns}, 0), i), j -> prefix[i] - prefix[j] <= least("
-        f"{history_tokens}, greatest({room} - (prefix[i + 1] - prefix[i]), 0))), 1), i)"
-    )
-    c = c.withColumn("last_of", F.expr(f"transform(sequence(0, size(body) - 1), i -> named_struct('i', i, 'h', {history}))"))
-    c = c.withColumn(
-        "starts",
-        F.expr(
-            "aggregate(last_of, cast(array() as array<struct<i:int,h:int>>), (a, x) -> CASE WHEN size(a) = 0 OR "
-            f"prefix[x.i + 1] - prefix[element_at(a, -1).h] > {room} THEN concat(a, array(x)) ELSE a END)"
-        ),
-    )
-    c = c.withColumn("stops", F.expr("concat(slice(starts.i, 2, size(starts)), array(size(body)))"))
-    c = c.withColumn(
-        "windows",
-        F.expr(
-            "transform(starts, (at, k) -> named_struct('context', concat(slice(all, 1, n_head), slice(body, at.h + 1, at.i - at.h)), "
-            "'span', slice(body, at.i + 1, stops[k] - at.i), 'tokens', head_tokens + prefix[stops[k]] - prefix[at.h]))"
-        ),
+    t = turns.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    ).withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).cast("long"))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("tokens").over(order))
+    t = t.withColumn("head", (F.col("k") == 1) & (F.col("role") == "system") & F.col("next").isNotNull())
+    body = F.when(F.col("head"), 0).otherwise(F.col("tokens"))
+    t = t.withColumn("sum", F.sum(body).over(upto))  # the body's tokens up to here
+    t = t.withColumn("head_tokens", F.first(F.when(F.col("head"), F.col("tokens")).otherwise(0)).over(upto))
+    # Where the repeated history would begin if a span began here: the first of the turns before that is in reach.
+    t = t.withColumn("room", F.greatest(F.lit(budget) - F.col("head_tokens"), F.lit(0)))
+    t = t.withColumn("reach", F.least(F.lit(history_tokens), F.greatest(F.col("room") - F.col("tokens"), F.lit(0))))
+    past = F.struct("k", "head", (F.col("sum") - body).alias("before"))
+    t = t.withColumn("past", F.collect_list(past).over(order.rowsBetween(-history_turns, 0)))
+    t = t.withColumn("before", F.col("sum") - body)
+    near = F.filter("past", lambda x: ~x["head"] & (F.col("before") - x["before"] <= F.col("reach")))
+    t = t.withColumn("from", F.coalesce(F.try_element_at(near, F.lit(1)), F.struct("k", "head", "before")))
+    numbers = F.struct("k", F.col("from.k").alias("h"), F.col("from.before").alias("h_before"), "sum", "room", "head")
+    spans = t.groupBy("conv").agg(F.sort_array(F.collect_list(numbers)).alias("all"), F.max("head_tokens").alias("head_tokens"))
+    # A span ends where its tokens, with the history that it repeats, would exceed the room.
+    kind = "struct<k:int,h:int,h_before:bigint,sum:bigint>"
+    fold = (
+        f"aggregate(filter(all, x -> NOT x.head), cast(array() as array<{kind}>), (a, x) -> CASE WHEN size(a) = 0 OR "
+        "x.sum - element_at(a, -1).h_before > x.room THEN concat(a, array(named_struct('k', x.k, 'h', x.h, 'h_before', "
+        "x.h_before, 'sum', x.sum))) ELSE a END)"
     )
-    w = c.select("conv", "n_head", F.posexplode("windows").alias("window", "w")).select("conv", "n_head", "window", "w.*")
-    w = w.withColumn("n_context", F.size("context"))
-    # The head is a turn of the conversation too: in the first window it is no repetition.
-    w = w.withColumn("n_repeated", F.expr("if(window = 0, n_context - n_head, n_context)"))
-    pieces = F.transform(
-        F.concat("context", "span"),
-        lambda t: F.struct(
-            t["role"].alias("role"),
-            F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(">")).alias("open"),
-            escape(t["text"]).alias("text"),
-        ),
+    spans = spans.withColumn("last", F.element_at("all", -1)["k"])
+    spans = spans.select("conv", "head_tokens", "last", F.posexplode(F.expr(fold)).alias("window", "at"))
+    stop = F.lead("at.k").over(Window.partitionBy("conv").orderBy("window"))
+    spans = spans.withColumn("stop", F.coalesce(stop, F.col("last") + 1))  # exclusive
+    members = F.sequence("at.h", F.col("stop") - 1)
+    members = F.when((F.col("head_tokens") > 0), F.concat(F.array(F.lit(1)), members)).otherwise(members)
+    spans = spans.select("conv", "window", F.col("at.k").alias("first"), F.explode(members).alias("k"))
+    # In the first window the system turn is no repetition.
+    spans = spans.withColumn("again", (F.col("k") < F.col("first")) & ((F.col("window") > 0) | (F.col("k") > 1)))
+    own = t.select(F.col("conv").alias("c"), F.col("k").alias("j"), "role", "text", "tokens")
+    rows = spans.join(own, F.col("conv").eqNullSafe(F.col("c")) & (F.col("k") == F.col("j")))
+    piece = F.struct(
+        "k", "again", "role", "tokens", F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(">")).alias("open"), escape(F.col("text")).alias("text")
     )
-    w = w.withColumn("pieces", pieces)
+    w = rows.groupBy("conv", "window").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     w = w.withColumn("text", F.array_join(F.transform("pieces", lambda p: F.concat(p["open"], p["text"], F.lit(CLOSE))), ""))
-    w = w.withColumn(
-        "ends",
-        F.expr(
-            "aggregate(pieces, array(0L), (a, p) -> concat(a, array(element_at(a, -1) + char_length(p.open) + "
-            f"char_length(p.text) + {len(CLOSE)})))"
-        ),
-    )
-    w = w.withColumn(
-        "loss",
-        F.expr(
-            "transform(filter(sequence(0, size(pieces) - 1), k -> k >= n_repeated AND pieces[k].role = "
-            f"'{target_role}'), k -> named_struct('start', ends[k] + char_length(pieces[k].open), "
-            f"'end', ends[k + 1] - {len(CLOSE)}))"
-        ),
+    loss = (
+        "aggregate(pieces, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>)), (a, p) -> named_struct("
+        f"'at', a.at + char_length(p.open) + char_length(p.text) + {len(CLOSE)}, 'spans', CASE WHEN NOT p.again AND p.role = "
+        f"'{target_role}' THEN concat(a.spans, array(named_struct('start', a.at + char_length(p.open), 'end', a.at + "
+        "char_length(p.open) + char_length(p.text)))) ELSE a.spans END), a -> a.spans)"
     )
+    w = w.withColumn("loss", F.expr(loss)).withColumn("n_context", F.size(F.filter("pieces", lambda p: p["again"])))
+    w = w.withColumn("tokens", F.expr("aggregate(pieces, 0L, (a, p) -> a + p.tokens)"))
     return w.select(
-        F.col("conv").alias(conv_col), "window", F.col("text").alias("text"), F.col("n_repeated").alias("n_context"),
-        (F.size("pieces") - F.col("n_repeated")).alias("n_turns"), "tokens", (F.col("tokens") > budget).alias("over_budget"), "loss",
+        F.col("conv").alias(conv_col), "window", "text", "n_context", (F.size("pieces") - F.col("n_context")).alias("n_turns"),
+        "tokens", (F.col("tokens") > budget).alias("over_budget"), "loss",
     )
 
 
