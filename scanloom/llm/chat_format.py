@@ -148,3 +148,26 @@ def op8_chat_format(spark, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+#: The same windows by a recursive query: a span ends where its tokens, with its history, would exceed the room.
+OP8_SQL = r"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+a AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS tokens, row_number() OVER p AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM src WINDOW p AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+b AS (SELECT *, k = 1 AND role = 'system' AND n > 1 AS head, 6 + length(replace(replace(replace(replace(role, '\', '\\'), '<turn:', '\lturn:'), '</turn>', '\l/turn>'), '>', '\g')) + 1
++ length(replace(replace(replace(text, '\', '\\'), '<turn:', '\lturn:'), '</turn>', '\l/turn>')) + 8 AS chars FROM a),
+c AS (SELECT *, sum(CASE WHEN head THEN 0 ELSE tokens END) OVER p AS upto, first_value(CASE WHEN head THEN tokens ELSE 0 END) OVER p AS head_tokens, first_value(CASE WHEN head THEN chars ELSE 0 END) OVER p AS head_chars,
+sum(CASE WHEN head THEN 0 ELSE chars END) OVER p AS chars_upto FROM b WINDOW p AS (PARTITION BY conv_id ORDER BY k)),
+d AS (SELECT *, greatest(512 - head_tokens, 0) AS room FROM c),
+e AS (SELECT x.conv_id, x.k, x.upto, x.room, x.head_chars, x.chars_upto, min_by(y.upto - y.tokens, y.k) AS h_before, min_by(y.chars_upto - y.chars, y.k) AS h_chars FROM d x JOIN d y ON y.conv_id = x.conv_id AND y.k BETWEEN x.k - 2 AND x.k
+AND NOT y.head AND (x.upto - x.tokens) - (y.upto - y.tokens) <= least(128, greatest(x.room - x.tokens, 0)) WHERE NOT x.head GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS j FROM e),
+w AS (SELECT conv_id, j, 0 AS win, h_before, h_chars FROM g WHERE j = 1
+UNION ALL SELECT g.conv_id, g.j, CASE WHEN g.upto - w.h_before > g.room THEN w.win + 1 ELSE w.win END, CASE WHEN g.upto - w.h_before > g.room THEN g.h_before ELSE w.h_before END, CASE WHEN g.upto - w.h_before > g.room THEN g.h_chars ELSE w.h_chars END
+FROM w JOIN g ON g.conv_id = w.conv_id AND g.j = w.j + 1),
+f AS (SELECT w.conv_id, w.win, max(g.chars_upto) - any_value(w.h_chars) + any_value(g.head_chars) AS chars FROM w JOIN g USING (conv_id, j) GROUP BY w.conv_id, w.win),
+s AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars FROM a JOIN s USING (conv_id) GROUP BY conv_id
+"""

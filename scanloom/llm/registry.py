@@ -14,4 +14,4 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_media": media.op10_media,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op8_chat_format": chat_format.OP8_SQL}
