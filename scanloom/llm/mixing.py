@@ -18,6 +18,7 @@ from .common import stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 FINE = 10
+SMALL = 10_000  # rows that may be sent to all executors; larger tables are joined as Spark chooses
 
 
 def words(text: str | Column) -> Column:
@@ -94,6 +95,10 @@ def route(patterns: dict, quotas: dict, uses: int) -> dict:
     return {(k, s): flow[first + j] for j, (_, k, s) in enumerate(pairs)}
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def _keyed(docs: DataFrame, id_col: str, sources_col: str, seed: int) -> DataFrame:
     """Adds __key (the pattern) and __h (0 to 2**20 - 1) to docs."""
     kind = dict(docs.dtypes)[sources_col]
@@ -149,7 +154,7 @@ def plan(thin: DataFrame, weights=(3, 1, 2), share: float = 1.5, uses: int = 2)
     if spots:
         wanted = sorted({(k, b) for (k, _), (b, _) in spots.items()})
         small = thin.sparkSession.createDataFrame(wanted, "__key string, b int")
-        near = thin.withColumn("b", F.shiftright("__h", FINE)).join(F.broadcast(small), ["__key", "b"])
+        near = thin.withColumn("b", F.shiftright("__h", FINE)).join(_sent(small, len(wanted)), ["__key", "b"])
         for r in near.groupBy("__key", "__h").agg(F.sum("__size").alias("n")).collect():  # marks x 2**FINE
             fine.setdefault((r["__key"], r["__h"] >> FINE), {})[r["__h"]] = int(r.n)
     cut = {}
@@ -181,7 +186,7 @@ def _with_uses(keyed: DataFrame, p: Plan) -> DataFrame:
     for k, a, b, s in p.segments:
         by_key.setdefault(k, []).append((a, b, s))
     small = spark.createDataFrame(sorted((k, v) for k, v in by_key.items()), "__key string, __segments array<struct<a:int,b:int,s:string>>")
-    joined = keyed.join(F.broadcast(small), "__key", "left")  # patterns x their sources x uses
+    joined = keyed.join(_sent(small, len(by_key)), "__key", "left")  # patterns x their sources x uses
     inside = F.filter("__segments", lambda x: (x["a"] <= F.col("__h")) & (F.col("__h") < x["b"]))
     return joined.withColumn("__uses", F.coalesce(F.transform(inside, lambda x: x["s"]), F.array().cast("array<string>")))
 
@@ -211,9 +216,9 @@ def mix_report(
     out = _with_uses(thin, p)
     spark = docs.sparkSession
     facts = [(s, int(p.sizes[s]), float(p.targets[s])) for s in by_code_point(p.sizes)]
-    facts = spark.createDataFrame(facts, "__s string, source_size long, target double")  # a row per source
+    rows, facts = len(facts), spark.createDataFrame(facts, "__s string, source_size long, target double")  # a row per source
     first = F.element_at("__members", 1)
-    out = out.withColumn("__s1", first).join(F.broadcast(facts), F.col("__s1").eqNullSafe(F.col("__s")), "left")
+    out = out.withColumn("__s1", first).join(_sent(facts, rows), F.col("__s1").eqNullSafe(F.col("__s")), "left")
     return out.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__members").alias("members"), F.col("__uses").alias("uses"), "source_size", "target")
 
 
