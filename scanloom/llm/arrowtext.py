@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,3 +30,13 @@ def runs(sizes: np.ndarray, most: int):
             j += 1
         yield i, j
         i = j
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on after a task, and so would what they held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

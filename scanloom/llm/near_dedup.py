@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import runs
+from .arrowtext import release, runs
 from .common import stage, table
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 REGISTERS = BANDS * ROWS
-BLOCK = 1 << 20  # bytes, or numbers, that are worked on at once
+BLOCK = 1 << 19  # bytes, or numbers, that are worked on at once
 U = np.uint64
 P = 0x9E3779B97F4A7C15
 _ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -228,6 +228,7 @@ def _sign(batches):
                 [part.column(0), part.column(1), _fixed(identities(words, n)), _lists(bands.reshape(-1), np.full(j - i, BANDS))],
                 ["id", "hash", "node", "bands"],
             )
+    release()
 
 
 def _sets(batches):
@@ -245,6 +246,7 @@ def _sets(batches):
             nth = (np.arange(len(hashes)) - start).astype(U)
             values = np.where(nth > 0, mix(hashes + nth * _ODD[2]), hashes)
             yield pa.RecordBatch.from_arrays([_fixed(identities(words, n)), _lists(values, np.bincount(owner, minlength=j - i))], ["node", "elements"])
+    release()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import raw, runs
+from .arrowtext import raw, release, runs
 from .common import crc_mod, table
 
 STEP, HALF, EMBED, FILTERS = 8, 256, 8, 24
 LAGS = range(2, 25)
-PIECE = 1 << 20  # bytes that are convolved at once
+PIECE = 1 << 18  # bytes that are convolved at once
 THRESHOLD = 0.3
 
 
@@ -142,7 +142,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 3, seed: int = 7)
     size = 20_000
     pick = np.concatenate([rng.choice(full[of == v], size // 2) for v in (0, 1)])
     rng.shuffle(pick)
-    at = pick[:, None] * HALF + np.arange(2 * HALF + STEP)[None, :]
+    span = np.arange(2 * HALF + STEP)
     per = 2 * HALF // STEP
     n_win = ends[pick] + np.where(np.append(own[1:] == own[:-1], False)[pick], np.append(ends, 0)[pick + 1], 0)
     y = labels[own[pick]]
@@ -153,7 +153,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 3, seed: int = 7)
     for _ in range(epochs):
         for s in range(0, size, batch):
             step += 1
-            x = laid[at[s : s + batch]]
+            x = laid[pick[s : s + batch, None] * HALF + span]
             m = len(x)
             blocks = embed[x].reshape(m, per + 1, STEP * EMBED)
             win = np.concatenate([blocks[:, :-1], blocks[:, 1:]], axis=2).reshape(m * per, -1)
@@ -220,9 +220,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "scor
     at = rows.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            s = score_texts(model, *raw(batch.column(at))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, to])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                s = score_texts(model, *raw(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, to])
+        release()
 
     return rows.mapInArrow(run, schema)
 
