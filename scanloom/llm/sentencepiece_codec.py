@@ -14,21 +14,23 @@ import json
 import os
 import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import runs
+from .arrowtext import raw, release, runs
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CHARS = 2_000_000  # of a run of texts that is encoded at once
+CHARS = 500_000  # bytes of a run of texts that is encoded at once
 
 
 def fields(data: bytes):
@@ -154,6 +156,9 @@ class Codec:
         m = Model(data)
         self.prefix, self.size = m.dummy_prefix, len(m.pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
+        self.lengths = np.fromiter(map(len, self.bytes), np.int64, self.size)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.all_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -171,6 +176,28 @@ class Codec:
         return out
 
 
+    def round_trips(self, flat: np.ndarray, counts: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether each text's ids (flat has those of all) decode to its bytes: the pieces' bytes side by side, without
+        the first marker. Bytes that are no UTF-8 are no text's."""
+        n = len(counts)
+        size = self.lengths[flat]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        decoded = self.all_bytes[np.repeat(self.starts[flat] - (ends - size), size) + np.arange(total)]
+        stop = np.concatenate([[0], ends])[np.cumsum(counts)]
+        start = np.concatenate([[0], stop[:-1]])
+        cut = np.zeros(n, np.int64)
+        if self.prefix and total:
+            cut = ((stop > start) & (decoded[np.minimum(start, total - 1)] == 32)).astype(np.int64)
+        length = np.diff(off)
+        same = (stop - start - cut) == length
+        own, at = np.repeat(np.arange(n), np.where(same, length, 0)), np.where(same, length, 0)
+        inner = np.arange(len(own)) - np.repeat(np.cumsum(at) - at, at)
+        wrong = decoded[(start + cut)[own] + inner] != data[off[:-1][own] + inner]
+        same[own[wrong]] = False
+        return same
+
+
 _codecs: dict = {}
 
 
@@ -204,20 +231,25 @@ def encode_column(docs: DataFrame, text_col: str = "text", model_path: str = MOD
         codec = _codec(*shared.value, threads)
         for batch in batches:
             column = batch.column(at)
-            sizes = np.fromiter((len(x) if x else 0 for x in column.to_pylist()), np.int64, batch.num_rows)
-            for i, j in runs(sizes, CHARS):
-                texts = column.slice(i, j - i).to_pylist()
-                there = [k for k, x in enumerate(texts) if x is not None]
-                own = [texts[k] for k in there]
-                ids = codec.encode(own)
-                back = [a == b for a, b in zip(codec.decode(ids), own)]
-                same = [a == b for a, b in zip(codec.own.encode(own, num_threads=threads), ids)] if parity else [None] * len(own)
-                cols = [[None] * len(texts) for _ in ADDED]
-                for k, a, b, c in zip(there, ids, back, same):
-                    cols[0][k], cols[1][k], cols[2][k], cols[3][k] = a, len(a), b, c
-                kinds = (pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.bool_())
+            raw_bytes, off = raw(column)
+            for i, j in runs(np.diff(off), CHARS):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(cols, kinds))], schema.names)
+                there = np.array(column.slice(i, j - i).is_valid())
+                own = [x or "" for x in column.slice(i, j - i).to_pylist()]
+                ids = codec.encode(own)
+                counts = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+                back = codec.round_trips(flat, counts, raw_bytes, off[i : j + 1])
+                same = [a == b for a, b in zip(codec.own.encode(own, num_threads=1), ids)] if parity else [None] * len(own)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
+                cols = [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(counts), pa.array(back), pa.array(same, pa.bool_())]
+                if not there.all():
+                    cols = [pc.if_else(pa.array(there), c, pa.nulls(len(c), c.type)) for c in cols]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema.names)
+                del ids, flat, back, same, cols
+        del codec
+        _codecs.clear()
+        release()
 
     return rows.mapInArrow(run, schema)
 
