@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that have been before; n_chars follows. Documents of which nothing is left go."""
-    out = line_dedup.line_dedup(docs.withColumn("__full", F.char_length("text") > 0))
+    out = line_dedup.line_dedup(docs.withColumn("__full", F.char_length("text") > 0), whole=True)
     out = out.filter((F.char_length("text") > 0) | F.coalesce(~F.col("__full"), F.lit(True)))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

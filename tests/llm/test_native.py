@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,6 +158,43 @@ def test_line_dedup_on_a_table(spark, sf):
     check_lines(spark, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(150))
 
 
+def edited(rng, s, n):
+    """s after n random edits."""
+    for _ in range(n):
+        at, c = rng.randrange(len(s) + 1), rng.choice("abcdeé ")
+        s = rng.choice([s[:at] + c + s[at:], s[:at] + s[at + 1 :], s[:at] + c + s[at + 1 :]])
+    return s
+
+
+def test_candidates_are_all_pairs_of_the_edit_similarity(spark):
+    rng = random.Random(3)
+    lines = set()
+    for n in [*range(1, 40), 44, 45, 53, 54, 62, 63, 71, 72, 80, 81, 89, 90, 99, 100, 140, 230]:
+        for _ in range(3):
+            s = "".join(rng.choice("abcdefghijklmno   é") for _ in range(n))
+            even = "".join("#" if i % 10 == 9 else c for i, c in enumerate(s))  # no piece longer than 9 is left
+            lines |= {s, even, edited(rng, s, 1), edited(rng, s, n // 20), edited(rng, s, n // 10), edited(rng, s, n // 9)}
+    lines = sorted(lines)
+    most = lambda s, t: int(max(len(s), len(t)) * 0.1 + 1e-9)
+    shared = lambda s, t: sum((Counter(s) & Counter(t)).values())  # noqa: E731  each edit takes one at most
+    close = lambda s, t: abs(len(s) - len(t)) <= most(s, t) and max(len(s), len(t)) - shared(s, t) <= most(s, t)
+    want = {(i, j) for i, s in enumerate(lines) for j, t in enumerate(lines) if i < j and close(s, t) and distance(s, t) <= most(s, t)}
+    texts = spark.createDataFrame(list(enumerate(lines)), "place long, norm string")
+    got = line_dedup.edit_candidates(texts)
+    assert want <= {(r.a, r.b) for r in got.collect()} and len(want) > 300
+    assert {(r.a, r.b) for r in line_dedup._verified(got, texts, 0.9).collect()} == want
+
+
+def test_whole_line_dedup_finds_short_lines_with_a_typo(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        s = " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(3 + k % 9))
+        rows += [(2 * k, s), (2 * k + 1, s[:9] + "é" + s[10:])]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, rows), whole=True).collect()}
+    assert all((got[2 * k] == "") != (got[2 * k + 1] == "") for k in range(40))
+
+
 def test_line_dedup_of_odd_tables(spark):
     assert line_dedup.line_dedup(docs(spark, [])).collect() == []
     clash = docs(spark, [(1, "a line that repeats", 1, "x"), (2, "a line that repeats", 2, "y")], ", line int, hash string")
