@@ -195,6 +195,16 @@ def test_whole_line_dedup_finds_short_lines_with_a_typo(spark):
     assert all((got[2 * k] == "") != (got[2 * k + 1] == "") for k in range(40))
 
 
+def test_whole_line_dedup_compares_short_lines_and_digits(spark):
+    same = ["Les.", "short", "2024-01-05 12:30:11 4711 0815", "=====", "+49 30 1234567", "}", "é", "Page 17 of 300 in this book"]
+    other = ["2024-01-05 12:30:12 4711 0815", "-----", "+49 30 1234568", "{", "Page 99 of 123, in this book!", "Total of row 1204 | 55 | 17", "Total of row 9831 | 20 | 94"]
+    got = line_dedup.line_dedup(docs(spark, [(1, "\n".join([*same, "", " ", ""])), (2, "\n".join(same)), (3, "\n".join(other)), (4, " Les.\t\nLes\nPAGE 17 of 300, in this book"), (5, None)]), whole=True)
+    lines = [x.strip() for r in got.collect() for x in (r.text or "").split("\n")]
+    words = [x.lower().replace(",", "") for x in lines]
+    assert all(lines.count(x) == 1 for x in [*same[:7], *other, "Les"]) and words.count("page 17 of 300 in this book") == 1
+    assert {r.doc_id: (r.text or "").count("\n") for r in got.collect()}[1] >= 2 and got.filter("text IS NULL").count() == 1
+
+
 def test_line_dedup_of_odd_tables(spark):
     assert line_dedup.line_dedup(docs(spark, [])).collect() == []
     clash = docs(spark, [(1, "a line that repeats", 1, "x"), (2, "a line that repeats", 2, "y")], ", line int, hash string")
