@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,15 +192,20 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 3, seed: int = 7)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most max_docs whole texts of at most max_bytes together, in order of a hash of the id. Ids with two labels
-    teach nothing, nor do null labels and null texts."""
+    """At most max_docs whole texts of at most max_bytes together, in order of a hash of the id; texts of more than a
+    sixteenth of max_bytes come after all others, and a text that doesn't fit is skipped. Ids with two labels teach
+    nothing, nor do null labels and null texts."""
     own = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     own = own.filter("q = q2").select("doc_id", "q")
     docs = docs.filter("text IS NOT NULL")
-    sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.xxhash64(F.lit(11), "doc_id").alias("h"))
-    sizes = sizes.join(own, "doc_id").orderBy("h", "doc_id", "n").limit(max_docs)  # texts stay where they are
-    total = F.sum("n").over(Window.orderBy("h", "doc_id", "n"))  # max_docs rows
-    label = {r.doc_id: r.q for r in sizes.withColumn("sum", total).filter(F.col("sum") <= max_bytes).select("doc_id", "q").collect()}
+    sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("n")).join(own, "doc_id")
+    sizes = sizes.groupBy("doc_id", "q").agg(F.max("n").alias("n")).filter(F.col("n") <= max_bytes)
+    order = (F.col("n") > max_bytes // 16, F.xxhash64(F.lit(11), "doc_id"), "doc_id")
+    label, left = {}, max_bytes
+    for r in sizes.orderBy(*order).limit(max_docs).collect():  # texts stay where they are
+        if r.n <= left:
+            label[r.doc_id] = r.q
+            left -= r.n
     if not label:
         return [], np.zeros(0, np.float32)
     got = docs.filter(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()

@@ -106,6 +106,14 @@ def test_quality_of_odd_tables(spark):
     assert 0 < quality.score_texts(quality.train(odd(spark), labels.limit(0)), np.zeros(3, np.uint8), np.array([0, 3]))[0] < 1
 
 
+def test_one_long_text_does_not_end_the_sample(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    for long in range(6):  # wherever it is in the order
+        f = spark.createDataFrame([(k, "x" * (1000 if k == long else 30)) for k in range(6)], "doc_id long, text string")
+        sizes = lambda docs, size: sorted(map(len, quality.sample_labelled(f, labels, docs, size)[0]))  # noqa: E731, B023
+        assert sizes(9, 999) == sizes(9, 1100) == [30] * 5 and sizes(9, 1150) == [*[30] * 5, 1000] and sizes(2, 1150) == [30] * 2
+
+
 # PII
 
 
