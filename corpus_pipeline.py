@@ -47,7 +47,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL expresses neither the classifier nor the hashes; tests hold the stages against brute force.
+#: SQL expresses neither the classifier nor the hashes. Tests hold the line and near operators by themselves against brute
+#: force; of the stages they check schemas, unique ids, the tokens' parity and how many documents labelled good are lost.
 ORACLE_SQL = None
 
 
