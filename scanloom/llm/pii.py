@@ -81,7 +81,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
 
 
 def candidates(text: str, base: list, failed: list) -> list[tuple[int, int, str]]:
-    """Further candidates, none of which overlaps a base span."""
+    """Further candidates, none of which overlaps a base span; they may overlap one another."""
     more = list(failed)
     if "=" in text or ":" in text:
         more += [(m.start(3), m.end(3), "secret") for m in SECRET.finditer(text)]
@@ -94,12 +94,11 @@ def candidates(text: str, base: list, failed: list) -> list[tuple[int, int, str]
     taken = [(s, e) for s, e, _ in base]
     starts = np.array([s for s, _ in taken], np.int64)
     upto = np.maximum.accumulate(np.array([e for _, e in taken], np.int64)) if taken else starts
-    out, last = [], 0
-    for s, e, k in sorted(more, key=lambda x: (x[0], KINDS.index(x[2]))):
+    out = []
+    for s, e, k in sorted(set(more), key=lambda x: (x[0], KINDS.index(x[2]), x[1])):
         at = int(np.searchsorted(starts, e)) - 1
-        if (at < 0 or upto[at] <= s) and s >= last:
+        if at < 0 or upto[at] <= s:
             out.append((s, e, k))
-            last = e
     return out
 
 
@@ -237,14 +236,20 @@ def train(found: DataFrame, threshold: float = THRESHOLD) -> list[int]:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id_col, base and spans, arrays of (start, end, kind) in code points, end exclusive, in order
-    of start and kind. spans has base and what the classifier adds. Null and empty texts have none; repeated rows have
+    of start and kind. spans has base and what the classifier adds; of what it accepts, spans that begin within one before
+    them are left out. Null and empty texts have none; repeated rows have
     a row each; a table without candidates adds none. Other columns are ignored."""
     found = stage(find_candidates(docs, id_col, text_col), "pii-candidates")
     taken = train(found, threshold)
-    keep = lambda s: s["base"] | s["feature"].isin(taken) if taken else s["base"]
+    added = lambda s: ~s["base"] & s["feature"].isin(taken) if taken else F.lit(False)
     place = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
-    spans = F.transform(F.filter("spans", keep), lambda s: F.struct(s["start"].alias("start"), F.element_at(place, s["kind"]).alias("o"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = F.transform(F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    ordered = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(place, s["kind"]).alias("o"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    more = ordered(F.filter("spans", added))
+    start = F.struct(F.lit(0).alias("last"), F.filter(more, lambda s: F.lit(False)).alias("out"))
+    grown = lambda x, s: F.struct(s["end"].alias("last"), F.concat(x["out"], F.array(s)).alias("out"))
+    apart = F.aggregate(more, start, lambda x, s: F.when(s["start"] >= x["last"], grown(x, s)).otherwise(x), lambda x: x["out"])
+    spans = F.array_sort(F.concat(ordered(F.filter("spans", lambda s: s["base"])), apart))
+    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return found.select(F.col("id").alias(id_col), "base", spans.alias("spans"))
 
 

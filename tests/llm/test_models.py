@@ -176,6 +176,16 @@ def test_pii_adds_and_leaves_alone(spark):
     assert pii.find_pii(spark.createDataFrame([], TEXT)).collect() == []
 
 
+def test_pii_rejected_candidates_hide_none(spark, monkeypatch):
+    rows = [(1, "415-555-2671 123-45-6789"), (2, "123-45-6789 987-65-4322"), (3, "call 415-555-2671 or me@example.com")]
+    feature = lambda t, kinds: {pii.judge(t, s, e, k)[1] for s, e, k in pii.candidates(t, *pii.base_spans(t)) if k in kinds}
+    found = lambda: {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, TEXT)).collect()}
+    monkeypatch.setattr(pii, "train", lambda *_: sorted(set().union(*(feature(t, ("phone", "ssn")) for _, t in rows))))
+    assert found() == {1: [(0, 12, "phone"), (13, 24, "ssn")], 2: [(0, 11, "ssn"), (12, 23, "ssn")], 3: [(5, 17, "phone"), (21, 35, "email")]}
+    monkeypatch.setattr(pii, "train", lambda *_: sorted(set().union(*(feature(t, pii.KINDS) for _, t in rows))))
+    assert found()[1] == [(0, 24, "card")]  # of accepted ones the first stays
+
+
 # Mixing
 
 
