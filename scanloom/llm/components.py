@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -16,26 +16,27 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     either direction are the same; edges with a null are none; without edges there are no rows.
     """
     e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e, labels, k = stage(e, f"{name}-edges"), None, 0
+    e, labels = stage(e, f"{name}-edges"), None
     while labels is None or not e.isEmpty():
-        k += 1
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = stage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("up")), f"{name}-hooks")
         while True:
             top = hooks.select(F.col("node").alias("up"), F.col("up").alias("over"))
             jumped = stage(hooks.join(top, "up").select("node", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved")), f"{name}-jump")
-            hooks = jumped.select("node", "up")
-            if jumped.filter("moved").isEmpty():
+            unstage(hooks)
+            hooks = jumped
+            if hooks.filter("moved").isEmpty():
                 break
         if labels is None:
-            labels = hooks.withColumnRenamed("up", "root")
+            labels = stage(hooks.select("node", F.col("up").alias("root")), f"{name}-labels")
         else:
             next_ = hooks.select(F.col("node").alias("root"), "up")
-            labels = stage(labels.join(next_, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels")
-        if e.isEmpty():
-            break
+            old, labels = labels, stage(labels.join(next_, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels")
+            unstage(old)
         of_a = hooks.select(F.col("node").alias("a"), F.col("up").alias("x"))
         of_b = hooks.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        e = e.join(of_a, "a").join(of_b, "b").filter("x <> y")
-        e = stage(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        rest = e.join(of_a, "a").join(of_b, "b").filter("x <> y")
+        old, e = e, stage(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        unstage(old, hooks)
+    unstage(e)
     return labels
