@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import line_dedup, mixing, near_dedup, quality, sentencepiece_codec
-from scanloom.llm.common import stage, table
+from scanloom.llm.common import free_name, stage, table, unstage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of these documents, doesn't reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, to="__score")
-    return scored.filter(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name("__score", docs)
+    return quality.score(docs, model, to=score).filter(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that have been before; n_chars follows. Documents of which nothing is left go."""
-    out = line_dedup.line_dedup(docs.withColumn("__full", F.char_length("text") > 0), whole=True)
-    out = out.filter((F.char_length("text") > 0) | F.coalesce(~F.col("__full"), F.lit(True)))
+    full = free_name("__full", docs)
+    out = line_dedup.line_dedup(docs.withColumn(full, F.char_length("text") > 0))
+    out = out.filter((F.char_length("text") > 0) | F.coalesce(~F.col(full), F.lit(True)))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
@@ -55,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, one in STAGES[:-1]:
-        docs = stage(one(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(one(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
