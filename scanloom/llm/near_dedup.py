@@ -7,9 +7,12 @@ same points at the same levels, and a document takes those below the shingle's c
 registers; the least time in each is the signature. Two documents agree in a register as often as their weighted
 Jaccard similarity says.
 
-Signatures are banded (24 bands of 4: a pair of similarity 0.8 has no band in common once in 300,000). Of the pairs in
-a bucket, those with the bucket's least member come first; then all whose members are not yet connected. Each is
-verified by the exact similarity of the multisets, and verified pairs make the components.
+Signatures are banded (24 bands of 4: a pair of similarity 0.8 has no band in common once in 300,000). All members of a
+bucket are compared with its most connected one, the one that shares most buckets with others: of copies of one text
+that is the text, so a large group is linked in linear time. What such stars leave in different components is compared
+within its buckets: blocks of a bounded size meet in pairs, each pair of documents in its first common band only, and
+documents of the bucket's commonest component only with others. Pairs are verified by the exact similarity of the
+multisets, after their sizes allow it, and verified pairs make the components.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import release, runs
-from .common import stage, table
+from .common import free_name, stage, table, unstage
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 REGISTERS = BANDS * ROWS
 BLOCK = 1 << 19  # bytes, or numbers, that are worked on at once
+PART_BYTES, PART_ROWS = 4 << 20, 1024  # of multisets, and documents, of a block of a bucket
 U = np.uint64
 P = 0x9E3779B97F4A7C15
 _ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -216,7 +220,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _sign(batches):
-    """(id, hash, text) -> (id, hash, node, bands)."""
+    """(id, hash, text) -> (id, hash, node, size in shingles, bands)."""
     for batch in batches:
         texts = [t or "" for t in batch.column(2).to_pylist()]
         for i, j in runs(np.fromiter(map(len, texts), np.int64, len(texts)), BLOCK):
@@ -225,8 +229,8 @@ def _sign(batches):
             bands = bands_of(signatures(*multisets(hashes, owner, j - i), j - i))
             part = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), _fixed(identities(words, n)), _lists(bands.reshape(-1), np.full(j - i, BANDS))],
-                ["id", "hash", "node", "bands"],
+                [part.column(0), part.column(1), _fixed(identities(words, n)), pa.array(np.bincount(owner, minlength=j - i)), _lists(bands.reshape(-1), np.full(j - i, BANDS))],
+                ["id", "hash", "node", "size", "bands"],
             )
     release()
 
@@ -257,8 +261,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _relabel(links: DataFrame) -> DataFrame:
-    return components(links, "near")
+def links_of_block(node: list[bytes], root: np.ndarray, first: np.ndarray, second: np.ndarray, bands: np.ndarray, band: int, sets: list[np.ndarray], similarity: float):
+    """Pairs (i, j) of similar documents whose roots (numbers) differ, whose first common band is this one, and of which
+    one is in the first, one in the second block. Of documents that become connected here, further pairs are left out."""
+    up = np.arange(int(root.max()) + 1 if len(root) else 0)
+
+    def top(x):
+        while up[x] != x:
+            x = up[x] = up[up[x]]
+        return x
+
+    size = np.array([len(x) for x in sets], np.int64)
+    major = root == np.bincount(root).argmax() if len(root) else root
+    number = np.arange(len(root))
+    for i in np.flatnonzero(~major):
+        ok = (root != root[i]) & (major | (number > i)) & ((first[i] & second) | (second[i] & first))
+        ok &= np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])
+        others = np.flatnonzero(ok)
+        others = others[(bands[others] == bands[i]).argmax(1) == band]
+        if not len(others):
+            continue
+        flat, ends = np.concatenate([sets[j] for j in others]), np.cumsum(size[others])
+        own = sets[i]
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(hit)])[ends]]))
+        for j in others[both >= similarity * (size[i] + size[others] - both)]:
+            a, b = top(root[i]), top(root[j])
+            if a != b:
+                up[a] = b
+                yield i, int(j)
+
+
+def _rest(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node = table.column("node").to_pylist()
+        number = {x: k for k, x in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
+        root = np.array([number[x] for x in table.column("root").to_pylist()], np.int64)
+        part = table.column("part").to_numpy()
+        first, second = part == table.column("low")[0].as_py(), part == table.column("high")[0].as_py()
+        flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        bands = flat(table.column("bands")).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        elements = flat(table.column("elements"))
+        off, values = elements.offsets.to_numpy(), elements.values.to_numpy(zero_copy_only=False)
+        sets = [np.sort(values[i:j]) for i, j in zip(off[:-1], off[1:])]
+        pairs = list(links_of_block(node, root, first, second, bands, table.column("band")[0].as_py(), sets, similarity))
+        return pa.table({"a": pa.array([node[i] for i, _ in pairs], pa.binary()), "b": pa.array([node[j] for _, j in pairs], pa.binary())})
+
+    return run
+
+
+def _rest_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between documents of a bucket that are in different components."""
+    own = shared.join(labels, "node", "left").select("band", "value", "node", "size", "bands", F.coalesce("root", "node").alias("root"))
+    own = stage(own, "near-own")
+    mixed = own.groupBy("band", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.greatest(F.col("bytes") * 8 / PART_BYTES, F.col("n") / PART_ROWS)).cast("int")
+    mixed = stage(mixed.filter("r1 <> r2").select("band", "value", F.greatest(parts, F.lit(1)).alias("parts")), "near-mixed")
+    rows = own.join(mixed, ["band", "value"]).withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) AS int)"))
+    rows = rows.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    rows = rows.select("band", "value", "node", "root", "part", "bands", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    rows = rows.join(sets, "node")
+    out = stage(rows.groupBy("band", "value", "low", "high").applyInArrow(_rest(similarity), "a binary, b binary"), "near-rest")
+    unstage(own, mixed)
+    return out
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -269,45 +335,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("hash"), "text")
-    schema = T.StructType([rows.schema["id"], rows.schema["hash"], T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    signed = stage(rows.mapInArrow(_sign, schema), "near-signatures")
-    nodes = signed.groupBy("node").agg(F.min(F.struct("hash", "bands")).alias("m"))
-    nodes = nodes.select("node", "m.hash", F.posexplode("m.bands").alias("band", "value"))
-    member = stage(nodes, "near-bands")
-    buckets = member.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = stage(buckets.select("band", "value", "hub"), "near-buckets")
-    shared = stage(member.join(buckets, ["band", "value"]).select("band", "value", "node", "hash", "hub"), "near-members")
-    wanted = shared.select("hash").distinct()
+    added = [T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    signed = stage(rows.mapInArrow(_sign, T.StructType([rows.schema["id"], rows.schema["hash"], *added])), "near-signatures")
+    nodes = signed.groupBy("node").agg(F.min("hash").alias("hash"), F.max("size").alias("size"), F.min("bands").alias("bands"))
+    nodes = stage(nodes, "near-nodes")
+    member = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    buckets = stage(member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
+    shared = stage(member.join(buckets, ["band", "value"]), "near-members")
+    popular = stage(shared.groupBy("node").agg(F.sum("n").alias("meets")).join(nodes, "node"), "near-popular")
+    hub = shared.join(popular.select("node", "meets", "size"), "node").groupBy("band", "value").agg(F.max(F.struct("meets", "node", "size")).alias("hub"))
+    hub = stage(hub.select("band", "value", F.col("hub.node").alias("a"), F.col("hub.size").alias("hub_size")), "near-hubs")
+    wanted = popular.select("hash").distinct()
     sets = rows.join(wanted, "hash", "left_semi").dropDuplicates(["hash"]).select("text")
-    sets = sets.mapInArrow(_sets, "node binary, elements array<long>").dropDuplicates(["node"])
-    sets = stage(sets, "near-sets")
-    # First each member with the least hub that it has, then with its other hubs, then what is left of each bucket.
-    star = shared.filter("node <> hub")
-    pairs = star.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    tried, links = stage(pairs, "near-pairs"), None
-    for turn in range(3):
-        good = stage(_verified(tried if turn == 0 else pairs, sets, similarity), "near-links")
-        links = good if links is None else links.unionByName(good)
-        labels = _relabel(links)
-        if turn == 2:
-            break
-        of = lambda c, r: labels.select(F.col("node").alias(c), F.col("root").alias(r))
-        if turn == 0:
-            pairs = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            own = shared.join(labels, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
-            own = stage(own, "near-own")
-            mixed = own.groupBy("band", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-            mixed = stage(own.join(mixed.select("band", "value"), ["band", "value"]), "near-mixed")
-            p = mixed.select("band", "value", F.col("node").alias("a"), F.col("root").alias("ra"))
-            q = mixed.select("band", "value", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = p.join(q, ["band", "value"]).filter("a < b AND ra <> rb").select("a", "b").distinct()
-        pairs = pairs.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
-        pairs = pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "near-pairs")
-        tried = tried.unionByName(pairs)
-        if pairs.isEmpty() and turn == 1:
-            break
+    sets = stage(sets.mapInArrow(_sets, "node binary, elements array<long>").dropDuplicates(["node"]), "near-sets")
+    star = shared.join(hub, ["band", "value"]).filter("node <> a").select("a", "hub_size", F.col("node")).distinct().join(popular.select("node", "size"), "node")
+    star = star.filter(F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")).select("a", F.col("node").alias("b"))
+    star = stage(star, "near-stars")
+    links = stage(_verified(star, sets, similarity), "near-links")
+    labels = components(links, "near-stars")
+    rest = _rest_links(shared.join(popular.select("node", "size", "bands"), "node"), labels, sets, similarity)
+    unstage(nodes, buckets, shared, popular, hub, sets, star)
+    if not rest.isEmpty():
+        unstage(labels)
+        labels = components(links.unionByName(rest), "near")
+    unstage(links, rest)
     return signed.select("id", "hash", "node").join(labels, "node", "left").select("id", "hash", F.coalesce("root", "node").alias("root"))
 
 
@@ -325,10 +376,11 @@ def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class; columns as they were."""
-    keep = near_report(docs, id_col, text_col, similarity).filter("kept").select(F.col(id_col).alias("__id"), F.col("hash").alias("__hash")).distinct()
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
-    return own.join(keep, on, "left_semi").dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    own, id_, hash_ = (free_name(f"__{n}", docs) for n in ("own", "id", "hash"))
+    keep = near_report(docs, id_col, text_col, similarity).filter("kept").select(F.col(id_col).alias(id_), F.col("hash").alias(hash_)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    on = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_))
+    return rows.join(keep, on, "left_semi").dropDuplicates([id_col, own]).select(*docs.columns)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -411,6 +411,21 @@ def test_near_classes(spark):
     check_near(spark, rows)
 
 
+@pytest.mark.parametrize("rows", [1024, 50])
+def test_near_classes_of_a_large_group(spark, monkeypatch, rows):
+    """Copies that are near their text, or only near another copy, or to none, in one block and in several."""
+    monkeypatch.setattr(near_dedup, "PART_ROWS", rows)
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+    texts = [base]
+    while len(texts) < 350:
+        own = list(rng.choice(texts[-40:]) if rng.random() < 0.3 else base)
+        for _ in range(rng.randint(1, 9)):
+            own[rng.randrange(len(own))] = str(rng.random())
+        texts.append(own)
+    check_near(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+
+
 def test_near_classes_of_a_table(spark, sf):
     check_near(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
