@@ -277,12 +277,14 @@ def decode(contents: list[bytes | None], strict: bool = False, max_pixels: int =
             try:
                 for f, s in zip(part, kernels.from_filtered(data, w, h, c, d, interlace)):
                     f.samples = s
-            except PngError:  # one of them has a bad row
+            except (PngError, MemoryError):  # one of them has a bad row, or all need too much at once
                 for f, x in zip(part, data):
                     try:
                         f.samples = kernels.from_filtered(x[None], w, h, c, d, interlace)[0]
                     except PngError as e:
                         f.error = e
+                    except MemoryError:
+                        f.error = PngError("TooLarge", f"{w} x {h}")
             for f in part:
                 f.data = b""
                 if c == 3 and not f.error and f.samples.size and int(f.samples.max()) >= len(f.palette) // 3:

@@ -99,43 +99,68 @@ def unfilter(rows: np.ndarray, step: int) -> np.ndarray:
     raw = np.zeros((n, height, wide * step), np.uint8)
     raw[:, :, :length] = body
     raw = raw.reshape(n, height, wide, step)
-    if not (kinds > 2).any():
-        above = np.zeros((n, wide, step), np.uint8)
-        for y in range(height):
-            own, k = raw[:, y], kinds[:, y]
-            if (k == 1).any():
-                own[k == 1] = np.cumsum(own[k == 1], axis=1, dtype=np.uint8)
-            if (k == 2).any():
-                own[k == 2] += above[k == 2]
-            above = own
-        return raw.reshape(n, height, -1)[:, :, :length]
-    # slant[d] has the pixels (y, d - y).
-    slant = np.zeros((wide + height, n, height, step), np.uint8)
-    for y in range(height):
-        slant[y : y + wide, :, y] = raw[:, y].transpose(1, 0, 2)
-    some = [bool((kinds == k).any()) for k in range(5)]
-    mask = [np.repeat((kinds == k)[:, :, None], step, 2) for k in range(5)]
-    one, two = np.zeros((n, height + 1, step), np.uint8), np.zeros((n, height + 1, step), np.uint8)  # with a row above all
+    if wide == 1:
+        _by_pixels(raw, kinds)
+    elif (kinds > 2).any():
+        _by_diagonals(raw, kinds)
+    else:
+        _by_rows(raw, kinds)
+    return raw.reshape(n, height, -1)[:, :, :length]
+
+
+def _by_rows(raw: np.ndarray, kinds: np.ndarray) -> None:
+    """Reverses filters 0 to 2 in place, row by row."""
+    above = np.zeros(raw.shape[:1] + raw.shape[2:], np.uint8)
+    for y in range(raw.shape[1]):
+        row, k = raw[:, y], kinds[:, y]
+        if (k == 1).any():
+            row[k == 1] = np.cumsum(row[k == 1], axis=1, dtype=np.uint8)
+        if (k == 2).any():
+            row[k == 2] += above[k == 2]
+        above = row
+
+
+def _by_pixels(raw: np.ndarray, kinds: np.ndarray) -> None:
+    """Reverses all filters of images of one pixel a row in place: what is to the left is 0, so only 2 to 4 look up."""
+    for image, kind in zip(raw, kinds.tolist()):
+        for k in range(raw.shape[3]):
+            value, out = 0, []
+            for x, f in zip(image[:, 0, k].tolist(), kind):
+                value = (x + (0 if f < 2 else value >> 1 if f == 3 else value)) & 255
+                out.append(value)
+            image[:, 0, k] = out
+
+
+def _by_diagonals(raw: np.ndarray, kinds: np.ndarray) -> None:
+    """Reverses all filters in place. The pixels (y, d - y) of a diagonal lie wide - 1 apart; besides them only the two
+    diagonals before are held."""
+    n, height, wide, step = raw.shape
+    flat = raw.reshape(n, height * wide, step)  # a view: whole rows follow one another
+    has = [bool((kinds == k).any()) for k in range(5)]
+    mask = [(kinds == k)[:, :, None] for k in range(5)]
+    one, two, now = (np.zeros((n, height + 1, step), np.int16) for _ in range(3))  # with a row above all
     for d in range(wide + height - 1):
         lo, hi = max(0, d - wide + 1), min(height, d + 1)
         left, up, corner = one[:, lo + 1 : hi + 1], one[:, lo:hi], two[:, lo:hi]
-        add = np.zeros(left.shape, np.uint8)
-        if some[1]:
-            np.copyto(add, left, where=mask[1][:, lo:hi])
-        if some[2]:
-            np.copyto(add, up, where=mask[2][:, lo:hi])
-        if some[3]:
-            np.copyto(add, ((left.astype(np.uint16) + up) >> 1).astype(np.uint8), where=mask[3][:, lo:hi])
-        if some[4]:
-            np.copyto(add, paeth(left, up, corner), where=mask[4][:, lo:hi])
-        now = np.zeros_like(one)
-        np.add(slant[d, :, lo:hi], add, out=now[:, lo + 1 : hi + 1])
-        slant[d, :, lo:hi] = now[:, lo + 1 : hi + 1]
-        # A row at its first pixel has nothing to its left: rows not begun are 0 in `now`.
-        one, two = now, one
-    for y in range(height):
-        raw[:, y] = slant[y : y + wide, :, y].transpose(1, 0, 2)
-    return raw.reshape(n, height, -1)[:, :, :length]
+        here = flat[:, d + lo * (wide - 1) : d + (hi - 1) * (wide - 1) + 1 : wide - 1]
+        total = now[:, lo + 1 : hi + 1]
+        total[...] = here
+        if has[1]:
+            np.add(total, left, out=total, where=mask[1][:, lo:hi])
+        if has[2]:
+            np.add(total, up, out=total, where=mask[2][:, lo:hi])
+        if has[3]:
+            np.add(total, (left + up) >> 1, out=total, where=mask[3][:, lo:hi])
+        if has[4]:
+            down, side = up - corner, left - corner
+            pa, pb, pc = np.abs(down), np.abs(side), np.abs(down + side)
+            best = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))
+            np.add(total, best, out=total, where=mask[4][:, lo:hi])
+        total &= 255
+        here[...] = total
+        # A row at its first pixel has nothing to its left: rows not begun are 0.
+        now[:, hi + 1 : hi + 2] = 0
+        one, two, now = now, one, two
 
 
 def paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:

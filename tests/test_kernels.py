@@ -182,3 +182,27 @@ def test_encode_refuses():
 def test_strict_bruteforce_never_leaves_type_0():
     x = np.random.default_rng(1).integers(0, 256, (2, 6, 9), dtype=np.uint8)
     assert not kernels.choose(kernels.filters(x, 1), "bruteforce", strict=True).any()
+
+
+@pytest.mark.parametrize("kind", [1, 2, 3, 4])
+@pytest.mark.parametrize("w,h", [(1, 20_000), (2, 20_000), (20_000, 1), (20_000, 2)])
+def test_memory_of_long_images_is_that_of_their_pixels(kind, w, h):
+    import tracemalloc
+
+    raw = np.random.default_rng(kind).integers(0, 256, (1, h, w + 1), dtype=np.uint8)
+    raw[:, :, 0] = kind
+    tracemalloc.start()
+    got = kernels.unfilter(raw, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < (32 << 10) + 40 * w * h and (kernels.filters(got, 1)[kind] == raw[:, :, 1:]).all()
+
+
+def test_too_little_memory_is_an_error_of_the_file(monkeypatch):
+    png = kernels.encode_images(np.zeros((2, 3, 3, 1), np.uint8), 0, 8)
+
+    def fails(*_):
+        raise MemoryError
+
+    monkeypatch.setattr(kernels, "from_filtered", fails)
+    assert [f[0].error.code for f in frames.decode(png)] == ["TooLarge", "TooLarge"]
