@@ -27,7 +27,8 @@ ENTRIES = 2_000_000  # partial counts that a task holds
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Code point -> its lower-case letter's code point; 0 for what is no letter. Marks belong to letters."""
+    """Code point -> its lower-case letter's code point; 0 for what is no letter. Marks belong to letters, but are none:
+    a text of marks alone has no letter."""
     out = np.zeros(sys.maxunicode + 1, np.int32)
     for c in range(sys.maxunicode + 1):
         x = chr(c)
@@ -176,14 +177,16 @@ def predict_texts(texts: list[str], profiles: dict[str, list[int]], profile_size
             dist[k] = np.bincount(own, weights=off, minlength=j - i)
         dist /= np.maximum(size, 1) * profile_size
         best = dist.argmin(0)
-        pred[i:j] = np.where(size > 0, best, -1)
-        score[i:j] = np.where(size > 0, np.clip(1 - dist[best, np.arange(j - i)], 0, 1), 0)
+        has = np.fromiter((any(map(str.isalpha, t)) for t in texts[i:j]), bool, j - i)
+        pred[i:j] = np.where(has, best, -1)
+        score[i:j] = np.where(has, np.clip(1 - dist[best, np.arange(j - i)], 0, 1), 0)
     return [langs[p] if p >= 0 else UNDETERMINED for p in pred], score
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], text_col: str = "text", profile_size: int = PROFILE) -> DataFrame:
     """The columns in keep with lang_pred and score (1 is no n-gram out of place). A text that is null or has no letter,
-    and any text if there are no profiles, is `und` with score 0. The profiles' size is languages x profile_size."""
+    and any text if there are no profiles, is `und` with score 0. Rows that repeat have equal results; a text of any
+    length is counted as a whole. The profiles' size is languages x profile_size."""
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 

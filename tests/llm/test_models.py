@@ -362,6 +362,13 @@ def check_near(spark, rows, schema=TEXT):
     assert len(got) == len(rows) and Counter(frozenset(g) for g in groups.values()) == expected_classes(rows)
 
 
+def test_marks_are_no_letters():
+    profiles = {"en": [ord(c) for c in "etaoin"], "fr": [ord(c) for c in "esaitn"]}
+    texts = ["\u2764\ufe0f", "1\ufe0f\u20e3", "\u0301", "", "42", "é", "e\u0301"]
+    got, score = language_id.predict_texts(texts, profiles)
+    assert got[:5] == ["und"] * 5 and not score[:5].any() and all(x in profiles for x in got[5:])
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(5)
 
