@@ -79,13 +79,6 @@ def time(data: Column) -> Column:
     return F.struct(*[p.cast("int").alias(n) for p, n in zip(parts, names)], F.try_make_timestamp(*[p.cast("int") for p in parts]).alias("ts"))
 
 
-def _nul(data: Column, start: int | Column = 0) -> Column:
-    """Where the next NUL is, from 0; -1 if there is none."""
-    text = F.decode(data, "ISO-8859-1")
-    start = F.lit(start) if isinstance(start, int) else start
-    return F.locate(NUL, text, 1) - 1 if isinstance(start, int) else F.call_function("locate", F.lit(NUL), text, start + 1) - 1
-
-
 def _utf8(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 
@@ -112,9 +105,25 @@ def text(name: Column, data: Column) -> Column:
 
 
 def text_error(name: Column, data: Column) -> Column:
+    """What is wrong before anything is inflated, in the order of the decoder; a zTXt's key is looked at after that
+    (late_text_error)."""
+    latin, n = F.decode(data, "ISO-8859-1"), F.octet_length(data)
+    nul = lambda start: F.call_function("locate", F.lit(NUL), latin, start) - 1
+    end = nul(F.lit(1))
+    lang_end = nul(end + 4)
+    no_nuls = (lang_end < 0) | (nul(lang_end + 2) < 0)
+    packed, intl = name == "zTXt", name == "iTXt"
+    return _error(
+        (end < 0, "TextLength"), (packed & (n < end + 2), "TextLength"), (packed & (u8(data, end + 1) != 0), "CompressionMethod"),
+        (~packed & ~end.between(1, 79), "KeySize"), (intl & (n < end + 3), "TextLength"), (intl & (u8(data, end + 2) != 0), "CompressionMethod"),
+        (intl & no_nuls, "TextLength"),
+    )
+
+
+def late_text_error(name: Column, data: Column) -> Column:
+    """What is wrong with a zTXt whose text could be inflated."""
     end = F.call_function("locate", F.lit(NUL), F.decode(data, "ISO-8859-1"), F.lit(1)) - 1
-    intl = name == "iTXt"
-    return _error((end < 0, "TextLength"), (~end.between(1, 79), "KeySize"), ((name == "zTXt") & (u8(data, end + 1) != 0), "CompressionMethod"), (intl & (u8(data, end + 2) != 0), "CompressionMethod"))
+    return F.when((name == "zTXt") & (end >= 0) & ~end.between(1, 79), "KeySize")
 
 
 @F.arrow_udf(T.StructType([T.StructField("val", T.StringType()), T.StructField("error", T.StringType())]))
@@ -150,7 +159,7 @@ def error(name: Column, data: Column, has_palette: Column) -> Column:
         .when(name == "tRNS", _error((~has_palette & ~n.isin(2, 6), "ChunkLength")))
         .when(name == "pHYs", _error((n != 9, "ChunkLength"), (u8(data, 8) > 1, "PhysUnits")))
         .when(name == "tIME", _error((n != 7, "ChunkLength")))
-        .when(name.isin("tEXt", "zTXt", "iTXt"), text_error(name, data))
+        .when(name.isin("tEXt", "zTXt", "iTXt"), F.coalesce(text_error(name, data), late_text_error(name, data)))
     )
 
 

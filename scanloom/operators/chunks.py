@@ -85,7 +85,7 @@ def text_table(chunks: DataFrame, id_col: str = "image_id") -> DataFrame:
     t = t.withColumn("wrong", parsers.text_error(F.col("name"), F.col("data"))).withColumn("inflated", parsers.inflate_text(F.col("t.body")))
     return t.select(
         id_col, "chunk_idx", F.col("name").alias("kind"), "t.key", F.coalesce("t.val", "inflated.val").alias("val"), "t.langtag", "t.transkey",
-        "t.compressed", F.coalesce("wrong", "inflated.error").alias("error"),
+        "t.compressed", F.coalesce("wrong", "inflated.error", parsers.late_text_error(F.col("name"), F.col("data"))).alias("error"),
     )
 
 

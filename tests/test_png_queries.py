@@ -122,3 +122,25 @@ def test_collect_pixels_is_the_inverse_of_explode(spark, sf):
     done = codec.decode_png(codec.encode_png(r))
     back = pixels.collect_pixels(pixels.explode_pixels(done), channels=3, depth=16)
     assert {(x.image_id, bytes(x.samples)) for x in back.collect()} == {(x.image_id, bytes(x.samples)) for x in r.collect()}
+
+
+def test_texts_with_two_faults_have_the_same_first_one_in_both_ways(spark):
+    from scanloom import frames
+    from scanloom.errors import PngError
+    from scanloom.functions import parsers
+
+    good, long_key = kernels.deflate(b"text"), b"k" * 80
+    cases = [
+        ("zTXt", long_key + b"\0\1" + good), ("zTXt", long_key + b"\0\0" + good), ("zTXt", b"\0\1" + good), ("zTXt", b"key\0"), ("zTXt", b"key"), ("zTXt", b"key\0\0" + good),
+        ("iTXt", long_key + b"\0\0\1"), ("iTXt", b"key\0\0\1"), ("iTXt", b"key\0\0"), ("iTXt", b"key\0\0\0"), ("iTXt", b"key\0\0\0en\0"), ("iTXt", b"key\0\0\0en\0k\0v"),
+        ("tEXt", long_key + b"\0v"), ("tEXt", b"\0v"), ("tEXt", b"key"), ("tEXt", b"key\0v"),
+    ]
+    f = spark.createDataFrame([(k, n, bytearray(d)) for k, (n, d) in enumerate(cases)], "k int, name string, data binary")
+    got = {r.k: r.e for r in f.select("k", parsers.error(F.col("name"), F.col("data"), F.lit(False)).alias("e")).collect()}
+    for k, (name, data) in enumerate(cases):
+        try:
+            frames.parse(name, data)
+            want = None
+        except PngError as e:
+            want = e.code
+        assert got[k] == want, cases[k]
