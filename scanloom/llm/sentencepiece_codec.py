@@ -14,6 +14,7 @@ import json
 import os
 import re
 import struct
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -141,10 +142,20 @@ def rebuild(data: bytes) -> str:
     return t.to_str()
 
 
+CACHE = 60_000  # words that a tokenizer keeps with their pieces (some 10 MB)
+
+
+def tables(data: bytes) -> tuple[bool, np.ndarray, np.ndarray]:
+    """What decoding needs of the model: whether texts begin with a marker, the pieces' lengths, and their bytes."""
+    m = Model(data)
+    pieces = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
+    return m.dummy_prefix, np.fromiter(map(len, pieces), np.int64, len(pieces)), np.frombuffer(b"".join(pieces), np.uint8)
+
+
 class Codec:
     """Encodes and decodes with the rebuilt tokenizer; compares with the sentencepiece library."""
 
-    def __init__(self, rebuilt: str, data: bytes, threads: int):
+    def __init__(self, rebuilt: str, data: bytes, parts: tuple[bool, np.ndarray, np.ndarray], threads: int):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         from tokenizers import Tokenizer
@@ -152,13 +163,19 @@ class Codec:
         import sentencepiece
 
         self.tokenizer = Tokenizer.from_str(rebuilt)
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(CACHE)
+            self.tokenizer.model = model
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
-        m = Model(data)
-        self.prefix, self.size = m.dummy_prefix, len(m.pieces)
-        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
-        self.lengths = np.fromiter(map(len, self.bytes), np.int64, self.size)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.all_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.prefix, self.lengths, self.all_bytes = parts
+        self.size, self.starts = len(self.lengths), np.cumsum(self.lengths) - self.lengths
+
+    @cached_property
+    def bytes(self) -> list[bytes]:
+        ends = np.cumsum(self.lengths).tolist()
+        whole = self.all_bytes.tobytes()
+        return [whole[i:j] for i, j in zip(self.starts.tolist(), ends)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -201,11 +218,11 @@ class Codec:
 _codecs: dict = {}
 
 
-def _codec(rebuilt: str, data: bytes, threads: int) -> Codec:
+def _codec(rebuilt: str, data: bytes, parts: tuple, threads: int) -> Codec:
     key = (hash(rebuilt), threads)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(rebuilt, data, threads)
+        _codecs[key] = Codec(rebuilt, data, parts, threads)
     return _codecs[key]
 
 
@@ -220,12 +237,13 @@ ADDED = (("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("ro
 def encode_column(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, threads: int = 2, parity: bool = True) -> DataFrame:
     """docs with ids, n_tokens, round_trip (decoding the ids gives the text back) and parity (the sentencepiece library
     has the same ids; null if not asked for). Columns of these names are replaced; the others and all rows stay.
-    A null text has null in all four; an empty one has no ids."""
+    A null text has null in all four; an empty one has no ids. Repeated rows have equal results, an empty table gives an
+    empty one, and a text of any length is encoded as a whole."""
     rows = docs.drop(*(n for n, _ in ADDED))
     at = rows.columns.index(text_col)
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in ADDED)])
     data = read_model(model_path)
-    shared = docs.sparkSession.sparkContext.broadcast((rebuild(data), data))  # the model: a few MB
+    shared = docs.sparkSession.sparkContext.broadcast((rebuild(data), data, tables(data)))  # the model: a few MB
 
     def run(batches):
         codec = _codec(*shared.value, threads)
@@ -261,7 +279,7 @@ def decode_column(df: DataFrame, ids_col: str = "ids", to: str = "text", model_p
     at = rows.columns.index(ids_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
     data = read_model(model_path)
-    shared = df.sparkSession.sparkContext.broadcast((rebuild(data), data))
+    shared = df.sparkSession.sparkContext.broadcast((rebuild(data), data, tables(data)))
 
     def run(batches):
         codec = _codec(*shared.value, threads)

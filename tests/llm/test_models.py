@@ -280,7 +280,7 @@ def proto(pieces, kind, fallback, prefix=True, extra=False):
 
 def test_bpe_parity():
     data = sentencepiece_codec.read_model()
-    c = sentencepiece_codec.Codec(sentencepiece_codec.rebuild(data), data, 2)
+    c = sentencepiece_codec.Codec(sentencepiece_codec.rebuild(data), data, sentencepiece_codec.tables(data), 2)
     texts = hard_texts()
     ids = c.encode(texts)
     assert ids == c.own.encode(texts)
@@ -301,7 +301,7 @@ def test_unigram_parity(extra):
     words = ["▁", "a", "b", "e", "t", "h", "i", "n", "▁a", "▁th", "in", "the", "aa", "aab", "▁▁", "th", "▁in", "é"]
     pieces += [(w, -rng.uniform(1, 9), 1) for w in words]
     data = proto(pieces, 1, 1, extra=extra)
-    c = sentencepiece_codec.Codec(sentencepiece_codec.rebuild(data), data, 1)
+    c = sentencepiece_codec.Codec(sentencepiece_codec.rebuild(data), data, sentencepiece_codec.tables(data), 1)
     texts = ["".join(rng.choice("abethin  é日") for _ in range(rng.randint(0, 30))) for _ in range(800)]
     assert c.encode(texts) == c.own.encode(texts)
 
