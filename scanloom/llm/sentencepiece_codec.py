@@ -192,27 +192,14 @@ class Codec:
                 out.append(self.tokenizer.decode([i for i in x if 0 <= i < self.size], skip_special_tokens=False))
         return out
 
-
-    def round_trips(self, flat: np.ndarray, counts: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Whether each text's ids (flat has those of all) decode to its bytes: the pieces' bytes side by side, without
-        the first marker. Bytes that are no UTF-8 are no text's."""
-        n = len(counts)
-        size = self.lengths[flat]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        decoded = self.all_bytes[np.repeat(self.starts[flat] - (ends - size), size) + np.arange(total)]
-        stop = np.concatenate([[0], ends])[np.cumsum(counts)]
-        start = np.concatenate([[0], stop[:-1]])
-        cut = np.zeros(n, np.int64)
-        if self.prefix and total:
-            cut = ((stop > start) & (decoded[np.minimum(start, total - 1)] == 32)).astype(np.int64)
-        length = np.diff(off)
-        same = (stop - start - cut) == length
-        own, at = np.repeat(np.arange(n), np.where(same, length, 0)), np.where(same, length, 0)
-        inner = np.arange(len(own)) - np.repeat(np.cumsum(at) - at, at)
-        wrong = decoded[(start + cut)[own] + inner] != data[off[:-1][own] + inner]
-        same[own[wrong]] = False
-        return same
+    def round_trips(self, ids: list[list[int]], data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether each text's ids decode to its bytes: the pieces' bytes side by side, without the first marker. Bytes
+        that are no UTF-8 are no text's."""
+        piece, out = self.bytes.__getitem__, np.zeros(len(ids), bool)
+        for k, (x, i, j) in enumerate(zip(ids, off[:-1].tolist(), off[1:].tolist())):
+            own = b"".join(map(piece, x))
+            out[k] = (own[1:] if self.prefix and own[:1] == b" " else own) == data[i:j].tobytes()
+        return out
 
 
 _codecs: dict = {}
@@ -257,7 +244,7 @@ def encode_column(docs: DataFrame, text_col: str = "text", model_path: str = MOD
                 ids = codec.encode(own)
                 counts = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
-                back = codec.round_trips(flat, counts, raw_bytes, off[i : j + 1])
+                back = codec.round_trips(ids, raw_bytes, off[i : j + 1])
                 same = [a == b for a, b in zip(codec.own.encode(own, num_threads=1), ids)] if parity else [None] * len(own)
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
                 cols = [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(counts), pa.array(back), pa.array(same, pa.bool_())]
