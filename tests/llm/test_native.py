@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import string
 from collections import Counter
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.llm import chat_format, exact_dedup, line_dedup
+from scanloom.llm.common import stage
 from scanloom.llm.components import components
 from scanloom.llm.registry import ORACLE_SQL, QUERIES
 
@@ -196,6 +198,44 @@ def test_lines_of_the_edit_similarity_are_found(spark, duck):
     assert all(exact[a] == exact[b] for a, b in got.items())  # nothing is linked that is not similar
 
 
+def test_edits_without_common_ends(spark):
+    """Leaving out words that both lines begin or end with changes no distance, also where they overlap or nothing is left."""
+    rng = np.random.default_rng(11)
+    line = lambda: " ".join("".join(rng.choice(list("abé"), rng.integers(1, 4))) for _ in range(rng.integers(1, 9)))
+    pairs = [("a c", "a b c"), ("a", "a a"), ("a a", "a a a"), ("a b", "b"), ("ab", "a b"), ("x", "y"), ("a b", "a b")]
+    for _ in range(400):
+        s = line()
+        t = list(s)
+        for _ in range(rng.integers(0, 4)):
+            at = rng.integers(0, len(t) + 1)
+            t[at : at + rng.integers(0, 2)] = list(rng.choice(["", "a", "b a", " a"]))
+        pairs.append((s, " ".join("".join(t).split()) or "a"))
+    rows = spark.createDataFrame(pairs, "s string, t string")
+    found = rows.selectExpr(f"{line_dedup._edits('3')} AS n", "levenshtein(s, t) AS m").collect()
+    assert all(r.n == (r.m if r.m <= 3 else -1) for r in found) and {r.n for r in found} == {-1, 0, 1, 2, 3}
+
+
+def test_signatures_shuffle_texts_once(spark):
+    """The words of a line are summed where its text is: one exchange for each width of lanes, by place."""
+    held = []
+    before, line_dedup.stage = line_dedup.stage, lambda df, name: held.append(df) or df
+    try:
+        line_dedup.signatures(spark.createDataFrame([(1, "some words here")], "place long, norm string"))
+    finally:
+        line_dedup.stage = before
+    plan = held[0]._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert initial.count("Exchange hashpartitioning(") == 2
+
+
+def test_room_of_steps(spark):
+    """Steps are compressed by zstd, and the signatures' goes when their copy with components is there."""
+    lines = stage(spark.createDataFrame([(1, 9, 1, 2, 3), (2, 9, 1, 2, 3)], "place long, n int, s0 long, s1 long, s2 long"), "lines")
+    assert any(x.endswith(".zstd.parquet") for x in os.listdir(lines._staged_at))
+    labels = spark.createDataFrame([], "node long, root long")
+    assert line_dedup.candidates(lines, labels).count() == 1 and not os.path.exists(lines._staged_at)
+
+
 def test_large_groups_of_near_lines(spark):
     """1,200 changed copies of a line, not all near each other, and one line that is near some: as by all pairs' links."""
     rng = random.Random(5)
