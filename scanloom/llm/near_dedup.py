@@ -311,9 +311,10 @@ def _rest(similarity: float):
     return run
 
 
-def _rest_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between documents of a bucket that are in different components."""
-    own = shared.join(labels, "node", "left").select("band", "value", "node", "size", "bands", F.coalesce("root", "node").alias("root"))
+def _rest_links(others: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between documents of a bucket that are in different components. others: all but the buckets' most connected
+    ones, with which all pairs have been compared; so a bucket of two has nothing left."""
+    own = others.join(labels, "node", "left").select("band", "value", "node", "size", "bands", F.coalesce("root", "node").alias("root"))
     own = stage(own, "near-own")
     mixed = own.groupBy("band", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.greatest(F.col("bytes") * 8 / PART_BYTES, F.col("n") / PART_ROWS)).cast("int")
@@ -348,13 +349,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = popular.select("hash").distinct()
     sets = rows.join(wanted, "hash", "left_semi").dropDuplicates(["hash"]).select("text")
     sets = stage(sets.mapInArrow(_sets, "node binary, elements array<long>").dropDuplicates(["node"]), "near-sets")
-    star = shared.join(hub, ["band", "value"]).filter("node <> a").select("a", "hub_size", F.col("node")).distinct().join(popular.select("node", "size"), "node")
+    others = stage(shared.join(hub, ["band", "value"]).filter("node <> a"), "near-others")
+    star = others.select("a", "hub_size", "node").distinct().join(popular.select("node", "size"), "node")
     star = star.filter(F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")).select("a", F.col("node").alias("b"))
     star = stage(star, "near-stars")
     links = stage(_verified(star, sets, similarity), "near-links")
     labels = components(links, "near-stars")
-    rest = _rest_links(shared.join(popular.select("node", "size", "bands"), "node"), labels, sets, similarity)
-    unstage(nodes, buckets, shared, popular, hub, sets, star)
+    again = others.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "value")
+    left = others.select("band", "value", "node").join(again, ["band", "value"], "left_semi")
+    rest = _rest_links(left.join(popular.select("node", "size", "bands"), "node"), labels, sets, similarity)
+    unstage(nodes, buckets, shared, popular, hub, others, sets, star)
     if not rest.isEmpty():
         unstage(labels)
         labels = components(links.unionByName(rest), "near")

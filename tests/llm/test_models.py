@@ -433,6 +433,21 @@ def test_near_classes_of_a_large_group(spark, monkeypatch, rows):
     check_near(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
 
 
+def test_pairs_with_the_hub_are_compared_once(spark, monkeypatch):
+    """Of a bucket of two, nothing is left to compare after the stars."""
+    rng, rows, held = np.random.default_rng(4), [], []
+    for k in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:95], *(f"v{x}" for x in rng.integers(0, 10**6, 25))]))]
+    rest = near_dedup._rest_links
+    monkeypatch.setattr(near_dedup, "_rest_links", lambda others, *a: held.append(others.count()) or rest(others, *a))
+    met = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda star, *a: met.append(star.count()) or verified(star, *a))
+    out = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.select("root").distinct().count() == 40 and met[0] > 10 and held == [0]
+
+
 def test_near_classes_of_a_table(spark, sf):
     check_near(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
