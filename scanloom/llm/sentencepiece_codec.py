@@ -158,7 +158,7 @@ class Codec:
     def __init__(self, rebuilt: str, data: bytes, parts: tuple[bool, np.ndarray, np.ndarray], threads: int):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         import sentencepiece
 
@@ -167,6 +167,13 @@ class Codec:
         if hasattr(model, "_resize_cache"):
             model._resize_cache(CACHE)
             self.tokenizer.model = model
+        # A normaliser that only sets marks is left to Python, where no positions are kept; user pieces are found before it.
+        made = json.loads(rebuilt)
+        steps = [x["type"] for x in made["normalizer"]["normalizers"]]
+        self.marks = not made["added_tokens"] and steps in (["Prepend", "Replace"], ["Replace"])
+        self.first = MARK if steps[0] == "Prepend" else ""
+        if self.marks:
+            self.tokenizer.normalizer = normalizers.Sequence([])
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.prefix, self.lengths, self.all_bytes = parts
         self.size, self.starts = len(self.lengths), np.cumsum(self.lengths) - self.lengths
@@ -178,6 +185,8 @@ class Codec:
         return [whole[i:j] for i, j in zip(self.starts.tolist(), ends)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.marks:
+            texts = [f"{self.first}{x}".replace(" ", MARK) if x else x for x in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:

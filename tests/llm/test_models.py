@@ -294,6 +294,18 @@ def test_bpe_parity():
         assert c.decode([x])[0] == c.tokenizer.decode(x, skip_special_tokens=False)
 
 
+def test_marks_are_set_as_the_library_sets_them():
+    """The given model's normaliser sets marks alone, and isn't run by the library."""
+    from tokenizers import Tokenizer
+
+    data = sentencepiece_codec.read_model()
+    rebuilt = sentencepiece_codec.rebuild(data)
+    codec = sentencepiece_codec.Codec(rebuilt, data, sentencepiece_codec.tables(data), 1)
+    texts = ["", " ", "  a  b\u2581\u2581c \u2581", "\x00\u00e9\U0001f600 \t\nfoo  ", "one two", "\u2581", "x" * 300 + " y"]
+    whole = Tokenizer.from_str(rebuilt)
+    assert codec.marks and codec.encode(texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_unigram_parity(extra):
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
