@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import raw, release, runs
 from .common import stage, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
@@ -192,28 +193,45 @@ def span_classifier(feature: np.ndarray, target: np.ndarray, n: np.ndarray) -> n
 
 
 SPAN = "struct<start:int,end:int,kind:string>"
+CHARS = 1 << 19  # bytes of texts whose spans are held at once
+
+
+def _spans_of(texts: list[str]) -> list[pa.Array]:
+    """base and spans of some texts, as columns; no objects are made for spans."""
+    at, n_base, n_all, found = ("start", "end", "kind"), [0], [0], ([], [], [], [], [], [])
+    for text in texts:
+        base, failed = base_spans(text)
+        more = candidates(text, base, failed)
+        for spans, own in ((base, True), (more, False)):
+            for s, e, k in spans:
+                for column, x in zip(found, (s, e, k, own, *judge(text, s, e, k))):
+                    column.append(x)
+        n_base.append(n_base[-1] + len(base))
+        n_all.append(n_all[-1] + len(base) + len(more))
+    types = (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32())
+    columns = [pa.array(c, t) for c, t in zip(found, types)]
+    only = [c.filter(columns[3]) for c in columns[:3]]
+    every = pa.StructArray.from_arrays(columns, [*at, "base", "votes", "feature"])
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    return [lists(n_base, pa.StructArray.from_arrays(only, list(at))), lists(n_all, every)]
+
+
+def _found(batches):
+    """(id, text) -> (id, base, spans), in parts of about CHARS bytes of text: a worker holds no more than a part's spans."""
+    for batch in batches:
+        _, off = raw(batch.column(1))
+        for i, j in runs(np.diff(off), CHARS):
+            part = batch.slice(i, j - i)
+            spans = _spans_of([x or "" for x in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), *spans], ["id", "base", "spans"])
+    release()
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base array<start, end, kind>, more array<start, end, kind, votes, feature>, for each row; a null text is empty."""
+    """id, base array<start, end, kind>, spans array<start, end, kind, base, votes, feature>, for each row; a null text is empty."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
-    more_type = pa.struct([*span, ("base", pa.bool_()), ("votes", pa.int32()), ("feature", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            bases, mores = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                base, failed = base_spans(text)
-                more = candidates(text, base, failed)
-                rows = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, k in more]
-                bases.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
-                mores.append([dict(zip(("start", "end", "kind", "base", "votes", "feature"), (s, e, k, b, *judge(text, s, e, k)))) for s, e, k, b in rows])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(span)), pa.array(mores, pa.list_(more_type))], ["id", "base", "spans"])
-
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, base array<{SPAN}>, spans array<struct<start:int,end:int,kind:string,base:boolean,votes:int,feature:int>>")
+    return rows.mapInArrow(_found, f"id {kind}, base array<{SPAN}>, spans array<struct<start:int,end:int,kind:string,base:boolean,votes:int,feature:int>>")
 
 
 def train(found: DataFrame, threshold: float = THRESHOLD) -> list[int]:

@@ -8,6 +8,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,21 @@ def test_pii_rejected_candidates_hide_none(spark, monkeypatch):
     assert found()[1] == [(0, 24, "card")]  # of accepted ones the first stays
 
 
+def test_pii_batch_is_left_in_parts(monkeypatch):
+    texts = [f"mail a{k}@example.com, 10.0.0.{k}, 415-555-26{k:02}" if k % 7 else None for k in range(60)]
+    monkeypatch.setattr(pii, "CHARS", 200)
+    out = list(pii._found([pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], ["id", "text"]).slice(3)]))
+    assert len(out) > 10 and max(x.num_rows for x in out) < 20
+    rows = [r for x in out for r in x.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(3, 60))
+    for r in rows:
+        text = texts[r["id"]] or ""
+        base, failed = pii.base_spans(text)
+        both = [(*x, True) for x in base] + [(*x, False) for x in pii.candidates(text, base, failed)]
+        assert [tuple(s.values()) for s in r["base"]] == base
+        assert [tuple(s.values()) for s in r["spans"]] == [(*x, *pii.judge(text, *x[:3])) for x in both]
+
+
 # Mixing
 
 
