@@ -160,6 +160,9 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if groups == 1 and cache is None and green.largest < 256 and None not in (red.only, blue.only, alpha.only):
         rest = np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
         return (_literals(bits, green, total).astype(np.uint32) << 8) | rest
+    if groups == 1 and cache is None and green.only is None and None not in (red.only, blue.only, alpha.only):
+        rest = np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
+        return (_with_copies(bits, green, far, total, width).astype(np.uint32) << 8) | rest
     out, at = [0] * total, 0
     while at < total:
         if meta is not None:
@@ -233,6 +236,90 @@ def _literals(bits: Bits, code: Code, total: int) -> np.ndarray:
     return entry[at] >> 4
 
 
+@lru_cache(64)
+def _near(width: int) -> np.ndarray:
+    """Distances of the codes 1 to 120, at their numbers."""
+    return np.array([0, *(max(x + y * width, 1) for x, y in NEAR)], np.int64)
+
+
+def _values(prefix: np.ndarray, read, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths or distances, their extra bits' number) of prefixes whose extra bits begin at some bits."""
+    n = np.maximum(prefix - 2, 0) >> 1
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + read(at, (1 << n) - 1) + 1), n
+
+
+def _with_copies(bits: Bits, code: Code, far: Code, total: int, width: int) -> np.ndarray:
+    """Symbols of one code with back-references between: as in _literals(), the length of what each bit would begin is
+    found for all bits at once; then it is followed from the first, and the copies are made in turn."""
+    first = bits.pos >> 3
+    data = np.frombuffer(bits.data, np.uint8)[first : first + 8 * total + 16]
+    wide = np.zeros(len(data) + 24, np.uint32)
+    wide[: len(data)] = data
+    wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
+    window = (wide[: len(data), None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.width) - 1)
+    entry = code.table[window.reshape(-1)]
+    read = lambda at, mask: (wide[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & mask
+
+    def reference(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits, length, distance) of the back-references that begin at some bits."""
+        x = entry[at].astype(np.int64)
+        own = at + (x & 15)
+        n, more = _values((x >> 4) - 256, read, own)
+        own = own + more
+        if far.only is None:
+            y = far.table[read(own, (1 << far.width) - 1)].astype(np.int64)
+            own, y = own + (y & 15), y >> 4
+        else:
+            y = np.full(len(at), far.only, np.int64)
+        d, more = _values(y, read, own)
+        return own + more - at, n, np.where(d > 120, d - 120, _near(width)[np.minimum(d, 120)])
+
+    one = np.zeros(len(entry) + 256, np.uint8)
+    one[: len(entry)] = entry & 15
+    copies = np.flatnonzero(entry >= 256 << 4)
+    one[copies], sizes, far_off = reference(copies)
+    here = np.arange(len(entry))
+    two = one.copy()
+    two[: len(entry)] += one[here + one[: len(entry)]]
+    four = (two[: len(entry)] + two[here + two[: len(entry)]]).tobytes()
+    pos, at = bits.pos & 7, []
+    put = at.append
+    try:
+        for _ in range(-(-total // 4)):
+            step = four[pos]
+            put(pos)
+            pos += step
+    except IndexError:  # the end of the data; whether that is too early is seen below
+        pass
+    at = np.array(at, np.int64)
+    at = np.stack([at, at + two[at]], 1).reshape(-1)
+    at = np.stack([at, at + one[at]], 1).reshape(-1)
+    at = at[at < len(entry)]
+    symbol = entry[at] >> 4
+    is_copy = symbol >= 256
+    size, own = np.ones(len(at), np.int64), np.searchsorted(copies, at[is_copy])
+    size[is_copy], d = sizes[own], far_off[own]
+    end = np.cumsum(size)
+    last = int(np.searchsorted(end, total))
+    if last == len(at):
+        raise WebpError("the data ends too early")
+    if end[last] != total:
+        raise WebpError("a back-reference leads out of the image")
+    bits.pos = (first << 3) + int(at[last]) + int(one[at[last]])
+    if bits.pos > bits.end:
+        raise WebpError("the data ends too early")
+    symbol, is_copy, size, end = (c[: last + 1] for c in (symbol, is_copy, size, end))
+    flat = np.zeros(total, np.uint8)
+    flat[end[~is_copy] - 1] = symbol[~is_copy]
+    out = bytearray(flat.tobytes())
+    for e, n, d in zip(end[is_copy].tolist(), size[is_copy].tolist(), d.tolist()):
+        at = e - n
+        if d > at:
+            raise WebpError("a back-reference leads out of the image")
+        out[at:e] = out[at - d : at - d + n] if d >= n else (out[at - d : at] * (n // d + 1))[:n]
+    return np.frombuffer(out, np.uint8)
+
+
 def _average(a, b):
     return [(x + y) >> 1 for x, y in zip(a, b)]
 
@@ -644,18 +731,159 @@ def _file(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """encode() of (height, width) 8-bit samples as grey pixels, without making the pixels."""
+MATCH, LONGEST = 6, 4096  # bytes that are looked for, and pixels of one copy
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix() of many values."""
+    v = value - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    small = v < 4
+    n = np.where(small, 0, high - 1)
+    return np.where(small, v, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), n, np.where(small, 0, v & ((1 << n) - 1))
+
+
+def _bits_each(count: np.ndarray) -> np.ndarray:
+    """The bits that a symbol takes which occurs so often."""
+    return np.log2(max(int(count.sum()), 1)) - np.log2(np.maximum(count, 1))
+
+
+def find_copies(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of copies of what was before, in order and without overlap, each of which takes fewer
+    bits than its samples do. A place is compared with the last one that has the same MATCH bytes."""
+    none = np.zeros(0, np.int64)
+    n = len(flat) - MATCH + 1
+    if n < 2:
+        return none, none, none
+    x = flat.astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(MATCH):
+        key |= x[k : k + n] << np.uint64(8 * k)
+    mixed = np.sort(((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24) << np.uint64(24)) | np.arange(n, dtype=np.uint64))
+    at = (mixed & np.uint64((1 << 24) - 1)).astype(np.int64)
+    same = (mixed[1:] >> np.uint64(24)) == (mixed[:-1] >> np.uint64(24))
+    at, before = at[1:][same], at[:-1][same]
+    same = key[at] == key[before]
+    far = np.zeros(n, np.int64)
+    far[at[same]] = (at - before)[same]
+    # Places one after the other with one distance are one copy; what the copy before has reached is left to that.
+    start = np.flatnonzero((far > 0) & np.concatenate([[True], far[1:] != far[:-1]]))
+    if not len(start):
+        return none, none, none
+    change = np.append(np.flatnonzero(far[1:] != far[:-1]) + 1, n)
+    end = change[np.searchsorted(change, start, "right")] + MATCH - 1
+    d = far[start]
+    start = np.maximum(start, np.concatenate([[0], end[:-1]]))
+    cost = np.concatenate([[0.0], np.cumsum(_bits_each(np.bincount(flat, minlength=256))[flat])])
+    size = end - start
+    worth = size > 2
+    start, size, d, end = start[worth], size[worth], d[worth], end[worth]
+    worth = cost[end] - cost[start] > 12 + _prefixes(size)[1] + _prefixes(d + 120)[1]
+    start, size, d = start[worth], size[worth], d[worth]
+    if len(size) and size.max() > LONGEST:
+        parts = -(-size // LONGEST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, size, d = np.repeat(start, parts) + nth * LONGEST, np.minimum(np.repeat(size, parts) - nth * LONGEST, LONGEST), np.repeat(d, parts)
+    return start, size, d
+
+
+@lru_cache(64)
+def _codes_of_near(width: int) -> np.ndarray:
+    """The code of each distance that has one of 1 to 120, else 0."""
+    near = _near(width)
+    out = np.zeros(int(near.max()) + 1, np.int64)
+    out[near[:0:-1]] = np.arange(len(near) - 1, 0, -1)
+    return out
+
+
+def _write_green(w: Writer, flat: np.ndarray, width: int, alpha: int) -> None:
+    """Writes an image of which only green (flat) changes, with back-references where they take fewer bits."""
+    start, size, d = find_copies(flat)
+    single = np.ones(len(flat), bool)
+    if len(start):
+        edge = np.zeros(len(flat) + 1, np.int8)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + size, -1)
+        single = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    near = _codes_of_near(width)
+    code = np.where(d < len(near), near[np.minimum(d, len(near) - 1)], 0)
+    (p, q), (pn, qn), (pe, qe) = (np.split(x, 2) for x in _prefixes(np.concatenate([size, np.where(code > 0, code, d + 120)])))
+    w.put(0, 2)  # no cache, one group of codes
+    lengths = _write_code(w, np.bincount(flat[single], minlength=280) + np.bincount(256 + p, minlength=280))
+    for s in (0, 0, alpha):  # red, blue, alpha
+        w.put(0b101 | s << 3, 11)
+    far = _write_code(w, np.bincount(q, minlength=40))
+    # At each pixel: a symbol, and of a copy its length's extra bits, its distance and the distance's extra bits.
+    value, n = np.zeros((len(flat), 4), np.int32), np.zeros((len(flat), 4), np.int32)
+    for at, column, symbol, own in ((single, 0, flat[single], lengths), (start, 0, 256 + p, lengths), (start, 2, q, far)):
+        used = np.flatnonzero(own)
+        if len(used):
+            codes = np.zeros(len(own), np.int64)
+            codes[used] = _codes(own, used)
+            value[at, column], n[at, column] = codes[symbol], own[symbol]
+    value[start, 1], n[start, 1], value[start, 3], n[start, 3] = pe, pn, qe, qn
+    value, n = value.reshape(-1), n.reshape(-1)
+    some = np.flatnonzero(n)
+    value, n = value[some], n[some]
+    if len(n):
+        place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+        w.extend(((np.repeat(value, n) >> place) & 1).astype(np.uint8))
+
+
+def _grey_file(samples: np.ndarray, predictor: int = 0, palette: bool = False) -> bytes:
+    """A file of grey pixels; with one predictor (left or up) for all of them, or a palette of 16 values at most."""
     height, width = samples.shape
     w = Writer()
     w.put(0x2F | (width - 1) << 8 | (height - 1) << 22, 40)
-    w.put(0b101 | 0 << 3, 4)  # subtract green is the only transform: 1, 2 (two bits), 0
-    w.put(0, 2)  # no cache, one group of codes
-    flat = samples.reshape(-1)
-    lengths = _write_code(w, np.bincount(flat, minlength=280))
-    for s in (0, 0, 255, 0):  # red, blue, alpha, distance
-        w.put(0b101 | s << 3, 11)
-    if lengths.any():
-        bits, mask = _code_bits(lengths[:256])
-        w.extend(bits[flat][mask[flat]])
+    alpha = 255
+    if palette:
+        values, index = np.unique(samples, return_inverse=True)
+        w.put(1, 1), w.put(PALETTE, 2), w.put(len(values) - 1, 8)
+        colours = np.uint32(0xFF000000) | values.astype(np.uint32) * np.uint32(0x10101)
+        steps = colours.copy()
+        steps[1:] = _sub(colours[1:], colours[:-1])
+        _write_image(w, steps, len(values), False)
+        bits = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+        index = index.reshape(height, width).astype(np.uint8)
+        index = np.pad(index, ((0, 0), (0, -width % (1 << bits)))).reshape(height, -1, 1 << bits)
+        samples = np.bitwise_or.reduce(index << np.arange(0, 8, 8 >> bits, dtype=np.uint8), axis=2)
+    elif predictor:
+        w.put(1, 1), w.put(PREDICTOR, 2), w.put(7, 3)  # blocks of 512 pixels
+        blocks = -(-width >> 9) * -(-height >> 9)
+        _write_image(w, np.full(blocks, 0xFF000000 | predictor << 8, np.uint32), -(-width >> 9), False)
+        samples, alpha = _residual(samples, predictor), 0
+    if not palette:
+        w.put(1, 1), w.put(SUBTRACT_GREEN, 2)
+    w.put(0, 1)
+    _write_green(w, samples.reshape(-1), samples.shape[1], alpha)
     return _file(w.bytes())
+
+
+def _residual(samples: np.ndarray, predictor: int) -> np.ndarray:
+    """What a predictor (1: left, 2: up) leaves of grey pixels; the first row has left, the first column up."""
+    out = samples.copy()
+    if predictor == 1:
+        out[:, 1:] -= samples[:, :-1]
+        out[1:, 0] -= samples[:-1, 0]
+    else:
+        out[1:] -= samples[:-1]
+        out[0, 1:] -= samples[0, :-1]
+    return out
+
+
+def encode_grey(samples: np.ndarray) -> bytes:
+    """A lossless WebP file of (height, width) 8-bit samples as grey pixels, without making the pixels: the smallest of
+    plain ones, those with a palette if there are 16 values at most, and those with the predictors that leave fewer bits.
+
+    Green is all that is left of grey pixels, so cross-colour has nothing to take away, and a colour in the cache would be
+    a second symbol for the same value in the same code: neither makes a file smaller, and none has them."""
+    count = np.bincount(samples.reshape(-1), minlength=256)
+    kinds: list[dict] = [{}]
+    if np.count_nonzero(count) <= 16:
+        kinds.append({"palette": True})
+    least = float(_bits_each(count) @ count)
+    for k in (1, 2):
+        left = np.bincount(_residual(samples, k).reshape(-1), minlength=256)
+        if float(_bits_each(left) @ left) < 0.9 * least:
+            kinds.append({"predictor": k})
+    return min((_grey_file(samples, **k) for k in kinds), key=len)

@@ -73,6 +73,76 @@ def test_bytes_round_trip(data):
     assert media.load_bytes(media.store_bytes(data)) == data
 
 
+def transforms_of(data):
+    """Kinds of the first file's transforms, and whether its pixels have back-references, as the decoder meets them."""
+    kinds, copied, inner, unpredict = [], [], webp._with_copies, webp._unpredict
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(webp, "_with_copies", lambda *a: copied.append(1) or inner(*a))
+        m.setattr(webp, "_unpredict", lambda *a: kinds.append("predictor") or unpredict(*a))
+        x = webp.decode(data)
+    used = webp.Bits(data[20:])
+    used.read(40)
+    if used.read(1) and used.read(2) == webp.PALETTE:
+        kinds.append("palette")
+    return x, kinds, bool(copied)
+
+
+def test_stored_form_uses_the_method():
+    words = [bytes(RNG.integers(97, 123, 12, dtype=np.uint8)) for _ in range(40)]
+    prose = b" ".join(words[k] for k in RNG.integers(0, 40, 400))
+    rows = RNG.integers(0, 256, 192, dtype=np.uint8)
+    slopes = np.concatenate([rows + k * 7 for k in range(20)]).astype(np.uint8).tobytes()
+    for data, kinds, copied in (
+        (prose[: len(prose) // 192 * 192], [], True), (slopes, ["predictor"], True), ((RNG.random(192 * 9) < 0.05).astype(np.uint8).tobytes(), ["palette"], False),
+    ):
+        x = np.frombuffer(data, np.uint8).reshape(-1, 192)
+        stored = media.store_bytes(data)
+        got, used, has = transforms_of(stored)
+        assert used == kinds and (has or not copied)
+        assert (got == (x.astype(np.uint32) * 0x10101 | 0xFF000000)).all() and media.load_bytes(stored) == data
+        assert len(stored) <= len(webp._grey_file(x))
+    assert len(media.store_bytes(prose[: len(prose) // 192 * 192])) < len(prose) / 3  # of what codes alone take, some 0.6
+
+
+def test_back_references_against_the_plain_decoder(monkeypatch):
+    """The reader of all bits at once and the one that goes pixel by pixel agree, also on damaged files."""
+    def plain(data):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(webp, "_with_copies", lambda bits, code, far, total, width: slow(bits, code, far, total, width))
+            return outcome(data)
+
+    def slow(bits, code, far, total, width):
+        out = []
+        while len(out) < total:
+            s = code.read(bits)
+            if s < 256:
+                out.append(s)
+                continue
+            n, d = webp._value(s - 256, bits), webp._value(far.read(bits), bits)
+            d = d - 120 if d > 120 else max(webp.NEAR[d - 1][0] + webp.NEAR[d - 1][1] * width, 1)
+            if d > len(out) or len(out) + n > total:
+                raise webp.WebpError("a back-reference leads out of the image")
+            for _ in range(n):
+                out.append(out[-d])
+        return np.array(out, np.uint8)
+
+    def outcome(data):
+        try:
+            return webp.decode(data).tobytes()
+        except (webp.WebpError, ValueError, IndexError):
+            return None
+
+    for k in range(60):
+        base = RNG.integers(0, 60, 900, dtype=np.uint8).tobytes()
+        data = b"".join(base[a : a + n] for a, n in zip(RNG.integers(0, 800, 30), RNG.integers(1, 90, 30)))
+        data = data[: len(data) // 192 * 192] + b"ab" * 96 + b"c" * 192 * (k % 3)
+        good = media.store_bytes(data)
+        assert outcome(good) == plain(good) is not None
+        x = bytearray(good)
+        x[RNG.integers(40, len(x))] ^= 1 << RNG.integers(0, 8)
+        assert outcome(bytes(x)) == plain(bytes(x))
+
+
 def test_long_payload_is_several_files(monkeypatch):
     monkeypatch.setattr(media, "ROWS", 3)
     data = RNG.integers(0, 256, 192 * 10, dtype=np.uint8).tobytes()
