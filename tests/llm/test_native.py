@@ -6,12 +6,13 @@ import os
 import random
 import string
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.llm import chat_format, exact_dedup, line_dedup
+from scanloom.llm import chat_format, common, exact_dedup, line_dedup
 from scanloom.llm.common import stage
 from scanloom.llm.components import components
 from scanloom.llm.registry import ORACLE_SQL, QUERIES
@@ -236,6 +237,29 @@ def test_room_of_steps(spark):
     assert line_dedup.candidates(lines, labels).count() == 1 and not os.path.exists(lines._staged_at)
 
 
+def test_garbage_of_the_driver_goes_at_half_of_its_heap(spark, monkeypatch):
+    class Heap:
+        total, held, runs = 400, 300, 0
+        maxMemory, totalMemory = (lambda self: 1000), (lambda self: self.total)
+
+        def gc(self):
+            self.total, self.runs = self.held, self.runs + 1
+
+    heap = Heap()
+    monkeypatch.setattr(common, "_heap_after", 0)
+    session = SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap)))))
+    assert not common.collect_garbage(session) and heap.runs == 0
+    heap.total = 600
+    assert common.collect_garbage(session) and (heap.runs, heap.total) == (1, 300)
+    heap.total, heap.held = 600, 600
+    assert common.collect_garbage(session) and heap.runs == 2
+    assert not common.collect_garbage(session) and heap.runs == 2  # what is in use is not looked through at every step
+    asked = []
+    monkeypatch.setattr(common, "collect_garbage", asked.append)
+    common.unstage(common.stage(spark.range(3), "garbage"))
+    assert asked == [spark]
+
+
 def test_large_groups_of_near_lines(spark):
     """1,200 changed copies of a line, not all near each other, and one line that is near some: as by all pairs' links."""
     rng = random.Random(5)
