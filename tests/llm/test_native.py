@@ -260,6 +260,13 @@ def test_garbage_of_the_driver_goes_at_half_of_its_heap(spark, monkeypatch):
     assert asked == [spark]
 
 
+def test_room_that_the_driver_has_freed_goes_after_each_step(spark, monkeypatch):
+    assert common.trim_native(spark)  # this JVM knows how
+    monkeypatch.setattr(common, "trim_native", (asked := []).append)
+    common.unstage(common.stage(spark.range(3), "trim"))
+    assert asked == [spark]
+
+
 def test_large_groups_of_near_lines(spark):
     """1,200 changed copies of a line, not all near each other, and one line that is near some: as by all pairs' links."""
     rng = random.Random(5)
