@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CHARS = 500_000  # bytes of a run of texts that is encoded at once
+CHARS = 1_000_000  # bytes of a run of texts that is encoded at once
 
 
 def fields(data: bytes):
@@ -143,6 +143,8 @@ def rebuild(data: bytes) -> str:
 
 
 CACHE = 60_000  # words that a tokenizer keeps with their pieces (some 10 MB)
+KNOWN = 400_000  # words after which those that have been encoded are forgotten (some 80 MB)
+TOGETHER, LONGEST = 500, 256  # new words that are encoded as one text, characters of a word
 
 
 def tables(data: bytes) -> tuple[bool, np.ndarray, np.ndarray]:
@@ -177,6 +179,14 @@ class Codec:
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.prefix, self.lengths, self.all_bytes = parts
         self.size, self.starts = len(self.lengths), np.cumsum(self.lengths) - self.lengths
+        # Then each word that begins with one marker is encoded once, and texts are put together of words.
+        self.by_word = bool(self.marks and self.first and made["pre_tokenizer"] and made["model"]["byte_fallback"])
+        self._forget()
+
+    def _forget(self) -> None:
+        """words: the number of each word that has been encoded; at, counts: where its pieces are in flat."""
+        self.words, self.chars = {}, 0
+        self.at, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @cached_property
     def bytes(self) -> list[bytes]:
@@ -189,6 +199,70 @@ class Codec:
             texts = [f"{self.first}{x}".replace(" ", MARK) if x else x for x in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words that are new, many in one text: they are apart where the pieces' bytes say so."""
+        flats, counts = [], []
+        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        made = self.tokenizer.encode_batch_fast(["".join([f"{MARK}{w}" for w in part]) for part in parts], add_special_tokens=False)
+        for part, e in zip(parts, made):
+            flat = np.array(e.ids, np.int32)
+            reached = np.cumsum(self.lengths[flat])
+            wanted = np.cumsum([len(w.encode()) + 1 for w in part])
+            end = np.searchsorted(reached, wanted)
+            if end[-1] != len(flat) - 1 or (reached[end] != wanted).any():
+                alone = [e.ids for e in self.tokenizer.encode_batch_fast([f"{MARK}{w}" for w in part], add_special_tokens=False)]
+                flat, end = np.fromiter(chain.from_iterable(alone), np.int32), np.cumsum([len(x) for x in alone]) - 1
+            flats.append(flat)
+            counts.append(np.diff(end, prepend=-1))
+        counts = np.concatenate(counts)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, *flats])
+        self.words.update(zip(words, range(len(self.words), len(self.at))))
+        self.chars += sum(map(len, words))
+
+    def encode_flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's ids): what encode() says, each word once. Texts with markers, with
+        spaces side by side or at an end, or with very long words are encoded as a whole."""
+        if not self.by_word:
+            ids = self.encode(column.to_pylist())
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+        if len(self.words) > KNOWN or self.chars > 16 * KNOWN:
+            self._forget()
+        split = pc.split_pattern(column, " ")
+        sizes = split.value_lengths().to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        number = list(map(self.words.get, words))
+        missing = [k for k, x in enumerate(number) if x is None]
+        whole = np.zeros(len(words), bool)
+        whole[[k for k in missing if not (w := words[k]) or len(w) > LONGEST or MARK in w]] = True
+        new = [k for k in missing if not whole[k]] if whole.any() else missing
+        first = len(self.words)
+        if new:
+            self._learn([words[k] for k in new])
+        for k in missing:
+            number[k] = 0
+        number = np.array(number, np.int64)
+        number[new] = np.arange(first, first + len(new))
+        place = coded.indices.to_numpy()
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        odd = np.zeros(len(sizes), bool)
+        odd[text[whole[place]]] = True
+        plain = ~odd[text]
+        number, text = number[place[plain]], text[plain]
+        n = self.counts[number]
+        counts = np.bincount(text, n, len(sizes)).astype(np.int64)
+        flat = self.flat[np.repeat(self.at[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        if odd.any():
+            own = self.encode(column.filter(pa.array(odd)).to_pylist())
+            counts[odd] = [len(x) for x in own]
+            here = np.repeat(odd, counts)
+            both = np.empty(len(here), np.int32)
+            both[~here], both[here] = flat, np.fromiter(chain.from_iterable(own), np.int32)
+            flat = both
+        return flat, counts
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         """What the tokenizer's decoder says. Where the pieces' bytes are UTF-8 as they are, that is their text without
         the first marker; only the rest needs the decoder, which replaces what is not."""
@@ -211,6 +285,16 @@ class Codec:
         return out
 
 
+def agree(ids: list[list[int]], flat: np.ndarray, end: np.ndarray) -> list[bool]:
+    """Whether each list has the numbers that flat has for it; end: where they end there."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    same = n == np.diff(end, prepend=0)
+    if not same.all():
+        return [ok and x == flat[k - len(x) : k].tolist() for x, ok, k in zip(ids, same.tolist(), end.tolist())]
+    differ = np.concatenate([[0], np.cumsum(np.fromiter(chain.from_iterable(ids), np.int32, len(flat)) != flat)])
+    return (differ[end] == differ[end - n]).tolist()
+
+
 _codecs: dict = {}
 
 
@@ -249,18 +333,23 @@ def encode_column(docs: DataFrame, text_col: str = "text", model_path: str = MOD
             for i, j in runs(np.diff(off), CHARS):
                 part = batch.slice(i, j - i)
                 there = np.array(column.slice(i, j - i).is_valid())
-                own = [x or "" for x in column.slice(i, j - i).to_pylist()]
-                ids = codec.encode(own)
-                counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+                texts = pc.fill_null(column.slice(i, j - i), "")
+                own = texts.to_pylist()
+                flat, counts = codec.encode_flat(texts)
+                end = np.cumsum(counts)
+                if parity:
+                    theirs = codec.own.encode(own, num_threads=1)
+                    same = agree(theirs, flat, end)
+                else:
+                    theirs = same = [None] * len(own)
+                ids = [x if ok else flat[k - m : k].tolist() for x, ok, k, m in zip(theirs, same, end.tolist(), counts.tolist())]
                 back = codec.round_trips(ids, raw_bytes, off[i : j + 1])
-                same = [a == b for a, b in zip(codec.own.encode(own, num_threads=1), ids)] if parity else [None] * len(own)
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
                 cols = [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(counts), pa.array(back), pa.array(same, pa.bool_())]
                 if not there.all():
                     cols = [pc.if_else(pa.array(there), c, pa.nulls(len(c), c.type)) for c in cols]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema.names)
-                del ids, flat, back, same, cols
+                del ids, theirs, own, flat, back, same, cols
         del codec
         _codecs.clear()
         release()

@@ -334,6 +334,32 @@ def test_unigram_parity(extra):
     assert c.encode(texts) == c.own.encode(texts)
 
 
+def test_each_word_is_encoded_once(monkeypatch):
+    """Texts put together of words that were encoded once have the ids of texts encoded as a whole, whatever is in them."""
+    data = sentencepiece_codec.read_model()
+    rng = random.Random(8)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.rebuild(data), data, sentencepiece_codec.tables(data), 1)
+    assert codec.by_word
+    some = ["a", "the", "Wörter", "日本語", "\u2581", "x\u2581y", "line\nline", "\n", "\t", "😀", "q" * 300, "e\u0301", "\u00a0", "\x00", "<0x41>", "<unk>", "</s>"]
+    some += ["".join(rng.choice("abcdeö1.,\n") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = ["", " ", "  a", "a ", "a  b", "a\u2581 b"] + [" ".join(rng.choices(some, k=rng.randint(1, 60))) for _ in range(300)]
+    want = codec.encode(texts)
+    sent = []
+    whole = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda words: (sent.extend(words), whole(words)))
+    for known in (sentencepiece_codec.KNOWN, 50, 50):  # the last ones forget
+        monkeypatch.setattr(sentencepiece_codec, "KNOWN", known)
+        for k in range(0, len(texts), 60):
+            flat, counts = codec.encode_flat(pa.array(texts[k : k + 60]))
+            end = np.cumsum(counts)
+            assert [x.tolist() for x in np.split(flat, end[:-1])] == want[k : k + 60]
+            assert sentencepiece_codec.agree(want[k : k + 60], flat, end) == [True] * len(counts)
+            wrong = [x[:-1] if i == 7 else [y + 1 for y in x] if i == 9 else x for i, x in enumerate(want[k : k + 60])]
+            assert sentencepiece_codec.agree(wrong, flat, end) == [i not in (7, 9) for i in range(len(counts))]
+        if known > 50:
+            assert len(sent) == len(set(sent)) > 250
+
+
 def test_sentencepiece_of_odd_tables(spark):
     f = odd(spark).withColumn("ids", F.lit("old"))
     got = sentencepiece_codec.encode_column(f)
