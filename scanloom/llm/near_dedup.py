@@ -30,6 +30,7 @@ from .components import components
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 REGISTERS = BANDS * ROWS
 BLOCK = 1 << 19  # bytes, or numbers, that are worked on at once
+BITS, SEEN = 26, 1_000_000  # of a bitmap of hashes, as a power of 2 (8 MB); hashes that a task keeps
 PART_BYTES, PART_ROWS = 4 << 20, 1024  # of multisets, and documents, of a block of a bucket
 U = np.uint64
 P = 0x9E3779B97F4A7C15
@@ -235,6 +236,45 @@ def _sign(batches):
     release()
 
 
+def wanted_bits(wanted: DataFrame, most: int = BITS) -> np.ndarray:
+    """Bytes of a bitmap of the hashes of `wanted` by their first bits: 16 bits for each hash, 2**most in all at most."""
+    rows = max(wanted.count(), 1)
+    bits = min(max((16 * rows - 1).bit_length(), 15), most)
+    place = wanted.select(F.shiftrightunsigned("hash", 64 - bits).alias("bit")).select((F.col("bit") % 32768).cast("long").alias("at"), F.expr("bit div 32768").alias("page"))
+    # Places are shuffled, not bitmaps, of which each task would have one.
+    pages = place.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = np.zeros((1 << bits >> 15, 4096), np.uint8)
+    for r in pages:
+        out[r.page] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _is_wanted(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(U) >> U(61 - (len(bitmap).bit_length() - 1))
+    return (bitmap[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _wanted_sets(shared):
+    """(hash, text) -> (node, elements) of texts whose hash is in the bitmap; of a task's equal hashes of one."""
+
+    def run(batches):
+        bitmap, seen = shared.value, set()
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            pick = []
+            for k in np.flatnonzero(_is_wanted(bitmap, own)).tolist():
+                if own[k] not in seen:
+                    seen.add(own[k])
+                    pick.append(k)
+            if len(seen) > SEEN:
+                seen.clear()
+            if pick:
+                yield from _sets([batch.select([1]).take(pa.array(pick))])
+        release()
+
+    return run
+
+
 def _sets(batches):
     """(text) -> (node, elements): hashes of the shingles, the second of a kind with another hash than the first."""
     for batch in batches:
@@ -250,7 +290,6 @@ def _sets(batches):
             nth = (np.arange(len(hashes)) - start).astype(U)
             values = np.where(nth > 0, mix(hashes + nth * _ODD[2]), hashes)
             yield pa.RecordBatch.from_arrays([_fixed(identities(words, n)), _lists(values, np.bincount(owner, minlength=j - i))], ["node", "elements"])
-    release()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -346,9 +385,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     popular = stage(shared.groupBy("node").agg(F.sum("n").alias("meets")).join(nodes, "node"), "near-popular")
     hub = shared.join(popular.select("node", "meets", "size"), "node").groupBy("band", "value").agg(F.max(F.struct("meets", "node", "size")).alias("hub"))
     hub = stage(hub.select("band", "value", F.col("hub.node").alias("a"), F.col("hub.size").alias("hub_size")), "near-hubs")
-    wanted = popular.select("hash").distinct()
-    sets = rows.join(wanted, "hash", "left_semi").dropDuplicates(["hash"]).select("text")
-    sets = stage(sets.mapInArrow(_sets, "node binary, elements array<long>").dropDuplicates(["node"]), "near-sets")
+    # Texts stay where they are: a bitmap of bounded size goes to them. What it lets through by chance goes in the join.
+    shared_bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(popular.select("hash")))
+    sets = rows.select("hash", "text").mapInArrow(_wanted_sets(shared_bits), "node binary, elements array<long>")
+    sets = stage(sets.dropDuplicates(["node"]).join(popular.select("node"), "node", "left_semi"), "near-sets")
     others = stage(shared.join(hub, ["band", "value"]).filter("node <> a"), "near-others")
     star = others.select("a", "hub_size", "node").distinct().join(popular.select("node", "size"), "node")
     star = star.filter(F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")).select("a", F.col("node").alias("b"))

@@ -502,6 +502,31 @@ def test_pairs_with_the_hub_are_compared_once(spark, monkeypatch):
     assert out.select("root").distinct().count() == 40 and met[0] > 10 and held == [0]
 
 
+def test_bitmap_of_wanted_hashes(spark):
+    rng = np.random.default_rng(9)
+    wanted, others = (rng.integers(-(2**63), 2**63 - 1, 5000, dtype=np.int64) for _ in range(2))
+    wanted[:4] = [0, -1, 2**63 - 1, -(2**63)]
+    frame = spark.createDataFrame([(x,) for x in wanted.tolist()], "hash long")
+    for most, size, let in ((26, 1 << 14, 0.1), (15, 1 << 12, 0.3)):  # bytes, share of others that come through
+        bitmap = near_dedup.wanted_bits(frame, most)
+        assert len(bitmap) == size
+        assert near_dedup._is_wanted(bitmap, wanted).all() and near_dedup._is_wanted(bitmap, others).mean() < let
+    assert not near_dedup._is_wanted(near_dedup.wanted_bits(frame.limit(0)), others).any()
+
+
+def test_near_dedup_does_not_shuffle_texts(spark, monkeypatch):
+    """Texts meet a bitmap before any join or aggregation; classes are the same if that lets everything through."""
+    plans, whole = {}, near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and whole(df, name))
+    monkeypatch.setattr(near_dedup, "_is_wanted", lambda bitmap, hashes: np.ones(len(hashes), bool))
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(base[:-1] + [f"x{k % 9}"]) if k < 40 else f"{rng.random()} " * 30) for k in range(90)]
+    check_near(spark, rows + [(100, None), (101, "")])
+    below = plans["near-sets"].split("MapInArrow", 1)[1]
+    assert "Join" not in below and "Aggregate" not in below
+
+
 def test_near_classes_of_a_table(spark, sf):
     check_near(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
