@@ -6,6 +6,7 @@ from __future__ import annotations
 import heapq
 import struct
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -101,36 +102,60 @@ def _table(lengths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, int]:
     return np.repeat((used[order] << 4 | own[order]).astype(np.int32), share)[_reversed(width)], width
 
 
+@lru_cache(256)
+def _single(symbol: int) -> Code:
+    """The code of one symbol."""
+    lengths = np.zeros(256, np.int64)
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
+@lru_cache(64)
+def _inner_table(lengths: tuple[int, ...]) -> tuple[list[int], int]:
+    """Table and mask of a code of code lengths; of one symbol an entry without bits."""
+    code = Code(np.array(lengths, np.int64))
+    return ([code.only << 4], 0) if code.only is not None else (code.table.tolist(), (1 << code.width) - 1)
+
+
 def _read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
+        symbol = bits.read(8 if wide else 1)
+        if not two:
+            return _single(symbol)
         lengths = np.zeros(max(size, 256), np.int64)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        lengths[symbol] = 1
+        lengths[bits.read(8)] = 1
         return Code(lengths)
-    first = np.zeros(19, np.int64)
-    for k in ORDER[: 4 + bits.read(4)]:
-        first[k] = bits.read(3)
-    inner = Code(first)
+    n, first = 4 + bits.read(4), [0] * 19
+    each = bits.read(30) | bits.read(3 * n - 30) << 30 if n > 10 else bits.read(3 * n)
+    for i, k in enumerate(ORDER[:n]):
+        first[k] = each >> 3 * i & 7
+    table, mask = _inner_table(tuple(first))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    lengths, at, last = [0] * size, 0, 8
+    lengths, at, last, data, pos = [0] * size, 0, 8, bits.data, bits.pos
     while at < size and left > 0:
         left -= 1
-        s = inner.read(bits)
+        window = int.from_bytes(data[pos >> 3 : (pos >> 3) + 4], "little") >> (pos & 7)
+        x = table[window & mask]
+        s, own = x >> 4, x & 15
         if s < 16:
+            pos += own
             lengths[at] = s
             at += 1
             last = s or last
             continue
-        if s == 16:
-            n, value = 3 + bits.read(2), last
-        else:
-            n, value = (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
+        more, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        n = least + (window >> own & (1 << more) - 1)
+        pos += own + more
         if at + n > size:
             raise WebpError("code lengths run over")
-        lengths[at : at + n] = [value] * n
+        if s == 16:
+            lengths[at : at + n] = [last] * n
         at += n
+    bits.pos = pos
+    if pos > bits.end:
+        raise WebpError("the data ends too early")
     return Code(np.array(lengths, np.int64))
 
 
@@ -253,16 +278,16 @@ def _with_copies(bits: Bits, code: Code, far: Code, total: int, width: int) -> n
     found for all bits at once; then it is followed from the first, and the copies are made in turn."""
     first = bits.pos >> 3
     data = np.frombuffer(bits.data, np.uint8)[first : first + 8 * total + 16]
-    wide = np.zeros(len(data) + 24, np.uint32)
+    wide = np.zeros(len(data) + 24, np.int64)
     wide[: len(data)] = data
-    wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-    window = (wide[: len(data), None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.width) - 1)
-    entry = code.table[window.reshape(-1)]
-    read = lambda at, mask: (wide[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & mask
+    wide = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
+    window = (wide[: len(data), None] >> np.arange(8)) & ((1 << code.width) - 1)
+    entry = code.table.take(window.reshape(-1))
+    read = lambda at, mask: (wide.take(at >> 3) >> (at & 7)) & mask
 
     def reference(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bits, length, distance) of the back-references that begin at some bits."""
-        x = entry[at].astype(np.int64)
+        x = entry.take(at).astype(np.int64)
         own = at + (x & 15)
         n, more = _values((x >> 4) - 256, read, own)
         own = own + more
@@ -275,13 +300,13 @@ def _with_copies(bits: Bits, code: Code, far: Code, total: int, width: int) -> n
         return own + more - at, n, np.where(d > 120, d - 120, _near(width)[np.minimum(d, 120)])
 
     one = np.zeros(len(entry) + 256, np.uint8)
-    one[: len(entry)] = entry & 15
-    copies = np.flatnonzero(entry >= 256 << 4)
+    np.bitwise_and(entry, 15, out=one[: len(entry)], casting="unsafe")
+    copies = (entry >= 256 << 4).nonzero()[0]
     one[copies], sizes, far_off = reference(copies)
     here = np.arange(len(entry))
     two = one.copy()
-    two[: len(entry)] += one[here + one[: len(entry)]]
-    four = (two[: len(entry)] + two[here + two[: len(entry)]]).tobytes()
+    two[: len(entry)] += one.take(here + one[: len(entry)])
+    four = (two[: len(entry)] + two.take(here + two[: len(entry)])).tobytes()
     pos, at = bits.pos & 7, []
     put = at.append
     try:
@@ -492,6 +517,21 @@ class Writer:
         rest = bits[whole:].tolist()
         self.value, self.n = sum(b << k for k, b in enumerate(rest)), len(rest)
 
+    def extend_codes(self, values: np.ndarray, n: np.ndarray) -> None:
+        """Many values, each of so many bits, 33 at most. They are added up by words of 32 bits, which doubles hold."""
+        self.flush()
+        values, n = np.append(self.value, values).astype(np.uint64), np.append(self.n, n)
+        end = np.cumsum(n)
+        at, total = end - n, int(end[-1])
+        values <<= (at & 31).astype(np.uint64)
+        word, size = at >> 5, (total >> 5) + 2
+        low = np.bincount(word, values & np.uint64(0xFFFFFFFF), size)
+        high = np.bincount(word + 1, values >> np.uint64(32), size)
+        data = (low + high).astype("<u4").tobytes()
+        whole, self.n = total >> 3, total & 7
+        self.parts.append(data[:whole])
+        self.value = data[whole] & ((1 << self.n) - 1)
+
     def bytes(self) -> bytes:
         self.put(0, -self.n % 8)
         self.flush()
@@ -528,6 +568,9 @@ def code_lengths(count: np.ndarray, most: int = 15) -> np.ndarray:
 # The code of code lengths is always this one: 4 bits, or 5 for the lengths 12 to 15; 16 is not used.
 _INNER = np.array([4] * 12 + [5] * 4 + [0, 4, 4], np.int64)
 _INNER_CODE = dict(zip(np.flatnonzero(_INNER).tolist(), _codes(_INNER, np.flatnonzero(_INNER)).tolist()))
+_INNER_BITS = _INNER.tolist()
+# What comes before the lengths: no simple code, 19 lengths of 3 bits each, and lengths of all symbols.
+_INNER_HEAD = (15 << 1 | sum(_INNER_BITS[k] << 5 + 3 * i for i, k in enumerate(ORDER)), 63)
 
 
 def _write_code(w: Writer, count: np.ndarray) -> np.ndarray:
@@ -538,25 +581,23 @@ def _write_code(w: Writer, count: np.ndarray) -> np.ndarray:
         w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(s, 8)
         return np.zeros(len(count), np.int64)
     lengths = code_lengths(count)
-    w.put(0, 1), w.put(15, 4)
-    for k in ORDER:
-        w.put(int(_INNER[k]), 3)
-    w.put(0, 1)
-    values, at = lengths.tolist(), 0
-    while at < len(values):
-        v, n = values[at], 1
-        if not v:
-            while at + n < len(values) and not values[at + n] and n < 138:
-                n += 1
-            if n >= 11:
-                w.put(_INNER_CODE[18], int(_INNER[18])), w.put(n - 11, 7)
-            elif n >= 3:
-                w.put(_INNER_CODE[17], int(_INNER[17])), w.put(n - 3, 3)
+    w.put(*_INNER_HEAD)
+    total = n = 0  # bits, and how many
+    for v, group in groupby(lengths.tolist()):
+        m = len(list(group))
+        while m:
+            if v or m < 3:
+                symbol, k, more, extra = v, 1, 0, 0
+            elif m < 11:
+                symbol, k, more, extra = 17, m, 3, m - 3
             else:
-                n = 1
-        if v or n < 3:
-            w.put(_INNER_CODE[v], int(_INNER[v]))
-        at += n
+                k = min(m, 138)
+                symbol, more, extra = 18, 7, k - 11
+            own = _INNER_BITS[symbol]
+            total |= (_INNER_CODE[symbol] | extra << own) << n
+            n += own + more
+            m -= k
+    w.put(total, n)
     return lengths if len(used) > 1 else lengths * 0
 
 
@@ -813,21 +854,25 @@ def _write_green(w: Writer, flat: np.ndarray, width: int, alpha: int) -> None:
     for s in (0, 0, alpha):  # red, blue, alpha
         w.put(0b101 | s << 3, 11)
     far = _write_code(w, np.bincount(q, minlength=40))
-    # At each pixel: a symbol, and of a copy its length's extra bits, its distance and the distance's extra bits.
-    value, n = np.zeros((len(flat), 4), np.int32), np.zeros((len(flat), 4), np.int32)
-    for at, column, symbol, own in ((single, 0, flat[single], lengths), (start, 0, 256 + p, lengths), (start, 2, q, far)):
-        used = np.flatnonzero(own)
-        if len(used):
-            codes = np.zeros(len(own), np.int64)
-            codes[used] = _codes(own, used)
-            value[at, column], n[at, column] = codes[symbol], own[symbol]
-    value[start, 1], n[start, 1], value[start, 3], n[start, 3] = pe, pn, qe, qn
-    value, n = value.reshape(-1), n.reshape(-1)
-    some = np.flatnonzero(n)
-    value, n = value[some], n[some]
-    if len(n):
-        place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
-        w.extend(((np.repeat(value, n) >> place) & 1).astype(np.uint8))
+    # At each pixel: a symbol; of a copy with its length's extra bits, and a distance with its own.
+    value, n = np.zeros((len(flat), 2), np.int64), np.zeros((len(flat), 2), np.int64)
+    codes, far_codes = _code_table(lengths), _code_table(far)
+    value[:, 0], n[:, 0] = codes.take(flat), np.where(single, lengths.take(flat), 0)
+    if len(start):
+        p, pn = p + 256, pn + lengths[256 + p]
+        value[start, 0], n[start, 0] = codes[p] | pe << lengths[p], pn
+        value[start, 1], n[start, 1] = far_codes[q] | qe << far[q], qn + far[q]
+    n = n.reshape(-1)
+    some = n.nonzero()[0]
+    w.extend_codes(value.reshape(-1).take(some), n.take(some))
+
+
+def _code_table(lengths: np.ndarray) -> np.ndarray:
+    """Each symbol's code; 0 of those that have none."""
+    out, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if len(used):
+        out[used] = _codes(lengths, used)
+    return out
 
 
 def _grey_file(samples: np.ndarray, predictor: int = 0, palette: bool = False) -> bytes:

@@ -180,3 +180,32 @@ def test_columns(spark):
     assert bytes(back[0].image.pixels) == rgba and (back[0].image.width, back[0].image.height) == (5, 3) and back[1].image is None
     bad = media.decode_column(spark.createDataFrame([(bytearray(b"junk"),)], "media binary"), "media").first()
     assert bad.image.pixels is None and bad.image.error
+
+
+def test_codes_are_packed_by_words():
+    """As bit by bit, after any number of bits, with values of no bits and of 33."""
+    rng = np.random.default_rng(3)
+    for head in (0, 1, 7, 8, 31, 4097):
+        n = np.append(rng.integers(0, 34, 500), [33] * 40 + [0] * 5)
+        values = rng.integers(0, 1 << 62, len(n)) & ((1 << n) - 1)
+        one, other = webp.Writer(), webp.Writer()
+        for w in (one, other):
+            w.put((1 << head) - 1, head)
+        one.extend_codes(values, n)
+        for v, k in zip(values.tolist(), n.tolist()):
+            other.put(v, k)
+        for w in (one, other):
+            w.put(5, 3), w.extend_codes(np.zeros(0, np.int64), np.zeros(0, np.int64)), w.put(1, 1)
+        assert one.bytes() == other.bytes()
+
+
+def test_tables_that_files_share_are_made_once(monkeypatch):
+    """Of a stored text's codes, those of code lengths and of one symbol are the same in all files."""
+    payloads = [(f"some words {k} and more words, {k * k} of them " * 9).encode()[:192] * 2 for k in range(3)]
+    files = [media.store_bytes(p) for p in payloads]
+    assert media.load_bytes(files[0]) == payloads[0]
+    made, table = [], webp._table
+    monkeypatch.setattr(webp, "_table", lambda lengths, used: made.append(len(lengths)) or table(lengths, used))
+    for p, f in zip(payloads[1:], files[1:]):
+        made.clear()
+        assert media.load_bytes(f) == p and 19 not in made and len(made) <= 2
