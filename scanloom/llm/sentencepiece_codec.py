@@ -142,8 +142,8 @@ def rebuild(data: bytes) -> str:
     return t.to_str()
 
 
-CACHE = 60_000  # words that a tokenizer keeps with their pieces (some 10 MB)
-KNOWN = 400_000  # words after which those that have been encoded are forgotten (some 80 MB)
+CACHE, SMALL = 60_000, 10_000  # words that a tokenizer keeps with their pieces (some 10 MB); if most words come to it once
+KNOWN = 100_000  # words after which those that have been encoded are forgotten (some 20 MB)
 TOGETHER, LONGEST = 500, 256  # new words that are encoded as one text, characters of a word
 
 
@@ -165,10 +165,6 @@ class Codec:
         import sentencepiece
 
         self.tokenizer = Tokenizer.from_str(rebuilt)
-        model = self.tokenizer.model
-        if hasattr(model, "_resize_cache"):
-            model._resize_cache(CACHE)
-            self.tokenizer.model = model
         # A normaliser that only sets marks is left to Python, where no positions are kept; user pieces are found before it.
         made = json.loads(rebuilt)
         steps = [x["type"] for x in made["normalizer"]["normalizers"]]
@@ -181,6 +177,10 @@ class Codec:
         self.size, self.starts = len(self.lengths), np.cumsum(self.lengths) - self.lengths
         # Then each word that begins with one marker is encoded once, and texts are put together of words.
         self.by_word = bool(self.marks and self.first and made["pre_tokenizer"] and made["model"]["byte_fallback"])
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(SMALL if self.by_word else CACHE)
+            self.tokenizer.model = model
         self._forget()
 
     def _forget(self) -> None:

@@ -360,6 +360,15 @@ def test_each_word_is_encoded_once(monkeypatch):
             assert len(sent) == len(set(sent)) > 250
 
 
+def test_words_that_are_kept_are_bounded():
+    """A worker holds few distinct words, and short ones, at once; in the pipeline it has little room beside the executor."""
+    data = sentencepiece_codec.read_model()
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.rebuild(data), data, sentencepiece_codec.tables(data), 1)
+    for k in range(0, 400_000, 20_000):
+        codec.encode_flat(pa.array([" ".join(f"w{x}" for x in range(k, k + 20_000))]))
+        assert len(codec.words) == len(codec.at) == len(codec.counts) <= 120_000
+
+
 def test_sentencepiece_of_odd_tables(spark):
     f = odd(spark).withColumn("ids", F.lit("old"))
     got = sentencepiece_codec.encode_column(f)
