@@ -199,6 +199,23 @@ def test_lines_of_the_edit_similarity_are_found(spark, duck):
     assert all(exact[a] == exact[b] for a, b in got.items())  # nothing is linked that is not similar
 
 
+def test_lines_with_changes_all_over_are_found(spark):
+    """One letter in 25 is another one: nearly all bits of a SimHash may change, and such lines are found all the same."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghiklmnorstu") for _ in range(rng.randint(2, 9)))
+    lines = []
+    for _ in range(60):
+        s = " ".join(word() for _ in range(60))
+        t = list(s)
+        for k in rng.sample([k for k, c in enumerate(s) if c != " "], len(s) // 25):
+            t[k] = "x"
+        lines += [s, "".join(t)]
+    classes = spark.createDataFrame(list(enumerate(lines)), "place long, norm string")
+    got = {r.node: r.root for r in line_dedup.similar_lines(classes).collect()}
+    assert sum(got.get(k) == k and got.get(k + 1) == k for k in range(0, 120, 2)) > 45
+    assert all(v == k - k % 2 for k, v in got.items())
+
+
 def test_edits_without_common_ends(spark):
     """Leaving out words that both lines begin or end with changes no distance, also where they overlap or nothing is left."""
     rng = np.random.default_rng(11)
