@@ -302,6 +302,24 @@ def test_large_groups_of_near_lines(spark):
     assert not any(i in got for i in range(1200, 1500))
 
 
+def test_common_words_and_quoted_passages_make_few_pairs(spark):
+    """Lines that have nothing in common but runs of short words don't meet; those that quote one passage are not all
+    paired, and copies among them are found all the same."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghiklmnorstu") for _ in range(n))
+    line = lambda between: " ".join(w for _ in range(12) for w in [word(9), word(10), *between])
+    common = spark.createDataFrame([(k, line(["of", "the", "a"])) for k in range(60)], "place long, norm string")
+    assert line_dedup.meetings(common).count() == 0
+    passage = " ".join(word(6) for _ in range(15))
+    quoting = [f"{line([])} {passage} {line([])}" for _ in range(300)]
+    lines = [*quoting, *(s[:-3] + "xyz" for s in quoting[::60])]
+    classes = spark.createDataFrame(list(enumerate(lines)), "place long, norm string")
+    met = line_dedup.meetings(classes)
+    pairs = line_dedup.other_pairs(met, spark.createDataFrame([], "node long, root long")).collect()
+    assert len(pairs) < 10 * len(lines)
+    assert {r.node: r.root for r in line_dedup.similar_lines(classes).collect()} == {j: i for i, k in zip(range(0, 300, 60), range(300, 305)) for j in (i, k)}
+
+
 def expected_lines(spark, frame):
     text = F.coalesce("text", F.lit(""))
     raw = F.posexplode(F.split(text, "\n")).alias("line", "raw")
