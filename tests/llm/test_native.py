@@ -320,6 +320,23 @@ def test_common_words_and_quoted_passages_make_few_pairs(spark):
     assert {r.node: r.root for r in line_dedup.similar_lines(classes).collect()} == {j: i for i, k in zip(range(0, 300, 60), range(300, 305)) for j in (i, k)}
 
 
+def test_steps_broadcast_by_measured_sizes(spark):
+    """A step is written without broadcasts by estimates, which are those of compressed files before they are exploded."""
+    seen, real = [], spark.range(3)
+    keys = (common.BROADCAST, common.ADAPTIVE)
+    before = [spark.conf.get(k, None) for k in keys]
+
+    class Writer:
+        option = lambda self, *_: self
+
+        def parquet(self, path):
+            seen.extend(spark.conf.get(k) for k in keys)
+            real.write.parquet(path)
+
+    common.unstage(common.stage(SimpleNamespace(sparkSession=spark, schema=real.schema, write=Writer()), "broadcasts"))
+    assert seen == ["-1", before[1] or spark.conf.get(common.BROADCAST)] and [spark.conf.get(k, None) for k in keys] == before
+
+
 def expected_lines(spark, frame):
     text = F.coalesce("text", F.lit(""))
     raw = F.posexplode(F.split(text, "\n")).alias("line", "raw")
