@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import binary, parsers
 
+PART_BYTES = 4 << 20  # of files whose chunks are made together
 CHUNK = T.StructType(
     [
         T.StructField("chunk_idx", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("name", T.StringType()),
@@ -36,10 +38,20 @@ def split_chunks(images: DataFrame, id_col: str = "image_id", content_col: str =
     def run(batches):
         from ..frames import split
 
-        for batch in batches:
-            ids, out = batch.column(0), []
+        def parts(batch):
+            """Runs of rows of PART_BYTES of files, or one larger file."""
+            start, size = 0, 0
+            for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+                if k > start and size + (n or 0) > PART_BYTES:
+                    yield batch.slice(start, k - start)
+                    start, size = k, 0
+                size += n or 0
+            yield batch.slice(start)
+
+        for part in (part for batch in batches for part in parts(batch)):
+            ids, out = part.column(0), []
             at = []
-            for k, content in enumerate(batch.column(1).to_pylist()):
+            for k, content in enumerate(part.column(1).to_pylist()):
                 for index, offset, name, length, data, stored, _, error in split(content) if content is not None else ():
                     at.append(k)
                     out.append({

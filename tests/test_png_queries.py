@@ -144,3 +144,17 @@ def test_texts_with_two_faults_have_the_same_first_one_in_both_ways(spark):
         except PngError as e:
             want = e.code
         assert got[k] == want, cases[k]
+
+
+def test_chunks_of_many_files_are_made_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    files = spark.createDataFrame([(1, bytearray(b"x"))], "image_id int, content binary")
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema: seen.append(f) or (_ for _ in ()).throw(KeyError))
+    with pytest.raises(KeyError):
+        chunks.split_chunks(files)
+    big = fixtures.png(kernels.chunk(b"tEXt", b"k\0" + b"v" * (1 << 20)), fixtures.IDAT, fixtures.IEND)
+    batch = pa.RecordBatch.from_pydict({"image_id": pa.array(range(12), pa.int32()), "content": pa.array([*[big] * 10, None, big], pa.binary())})
+    out = list(seen[0](iter([batch])))
+    assert len(out) >= 3 and sum(b.num_rows for b in out) == 44 and max(b.nbytes for b in out) < 5 << 20
