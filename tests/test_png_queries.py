@@ -146,6 +146,33 @@ def test_texts_with_two_faults_have_the_same_first_one_in_both_ways(spark):
         assert got[k] == want, cases[k]
 
 
+def test_messages_of_tasks_do_not_grow_with_their_files(tmp_path):
+    """A task tells the driver its folder, not the paths of its files; rows of one name are refused, also across tasks."""
+    import pickle
+
+    import pyarrow as pa
+
+    def rows(names):
+        n = len(names)
+        return [pa.RecordBatch.from_pydict({"name": names, "width": [1] * n, "height": [1] * n, "color_type": [0] * n, "bit_depth": [8] * n, "samples": [b"x"] * n})]
+
+    def writer(path):
+        return source.ImageWriter({"path": str(path)}, rows(["a"])[0].schema, False)
+
+    w = writer(tmp_path / "a")
+    many, one = w.write(rows([str(k) for k in range(150)])), w.write(rows(["own"]))
+    assert len(pickle.dumps(many)) == len(pickle.dumps(one))
+    w.commit([many, one, None])
+    assert len(source._listed(str(tmp_path / "a"))) == 151
+    batches = list(source.ImageReader({"path": str(tmp_path / "a")}).read(source.Files(tuple(p for p, _ in source._listed(str(tmp_path / "a"))))))
+    assert [b.num_rows for b in batches] == [64, 64, 23] and all(isinstance(b, pa.RecordBatch) for b in batches)
+    w = writer(tmp_path / "b")
+    with pytest.raises(ValueError):
+        w.write(rows(["x", "x"]))
+    with pytest.raises(ValueError):
+        w.commit([w.write(rows(["x"])), w.write(rows(["x"]))])
+
+
 def test_chunks_of_many_files_are_made_in_parts(spark, monkeypatch):
     import pyarrow as pa
 
